@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,17 +24,7 @@ class KeyHashIndex:
         self.current: DataFrame | None = None
 
     def bucketed(self, df: DataFrame, name: str, split: str | None = None, placed: bool = False) -> DataFrame:
-        """Write ``df`` in buckets of the key, one file for each bucket (and value of ``split``).
-
-        ``placed``: the rows come from a merge of buckets, so each task has one bucket already.
-        """
-        table = f"graphlens_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
-        writer = (df if placed else df.repartition(self.buckets, *self.keys)).write.format("parquet")
-        writer = writer.bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
-        if split:
-            writer = writer.partitionBy(split)
-        writer.option("path", self.scratch.path(name)).saveAsTable(table)
-        return self.spark.table(table)
+        return self.scratch.save_bucketed(df, name, self.keys, split, placed, self.buckets)
 
     def probe(self, new: DataFrame, carried: str) -> DataFrame:
         """Compare ``new`` (keys, ``carried``, ``row_hash``) with the index.

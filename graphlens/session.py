@@ -85,6 +85,20 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, name: str, keys: list[str], split: str | None = None, placed: bool = False, buckets: int | None = None) -> DataFrame:
+        """Write ``df`` in buckets of ``keys``, one file for each bucket (and value of ``split``).
+
+        Joins and groupings of such tables by these keys need no shuffle. ``placed``: each task of ``df``
+        has just one bucket already, as after a merge of buckets.
+        """
+        n = buckets or shuffle_partitions(self.spark)
+        table_name = f"graphlens_{name}_{uuid.uuid4().hex[:12]}"
+        writer = (df if placed else df.repartition(n, *keys)).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+        if split:
+            writer = writer.partitionBy(split)
+        writer.option("path", self.path(name)).saveAsTable(table_name)
+        return self.spark.table(table_name)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete the files of saved tables which nothing reads any more."""
         for df in tables:
