@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import bpe, docpairs, leaks, syntax
+from graphlens.llm import bpe, docpairs, leaks, reading, syntax
 from graphlens.session import table
 
 
@@ -30,5 +30,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.col("doc_kind").isin("guide", "adr", "issue", "runbook", "faq") & (F.col("lang") == "en"))
+    return reading.reading_levels(docs, table(spark, d, "reading_labels"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
