@@ -125,28 +125,42 @@ def prefix_affinity(nodes: DataFrame, source_type: str, target_type: str, least:
 
 
 def path_segments(path: Column) -> Column:
-    """Segments of an HTTP path: lower case, parameters alike."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(path), r"[{\[][^}\]]*[}\]]", ":param"), "/+", "/")
+    """Segments of an HTTP path: lower case, parameters of any notation alike."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(path), r"[{\[][^}\]]*[}\]]|:\w+", ":param"), "/+", "/")
     return F.filter(F.split(plain, "/"), lambda s: s != "")
 
 
+def _ends(segments: str, claim: bool) -> Column:
+    """Join keys by the last two segments, so that no two paths meet whose ends differ as literals.
+
+    l: both end in this literal. w: the claim ends in a parameter, e: the endpoint does, so the segment
+    before decides. x, y: that one is a parameter too, of the claim or of the endpoint.
+    """
+    key = lambda tag, value: F.concat(F.lit(tag), value)
+    last, before = F.element_at(segments, -1), F.element_at(segments, -2)
+    wild, wilder = last == ":param", (last == ":param") & (before == ":param")
+    own, other = ("w", "e") if claim else ("e", "w")
+    mine, theirs = ("x", "y") if claim else ("y", "x")
+    none = F.lit(None).cast("string")
+    keys = [F.when(~wild, key("l", last)), F.when(wild, key(own, before)), key(other, before) if not claim else F.when(~wild, key(other, before)), F.when(wilder, F.lit(mine)), F.lit(theirs)]
+    return F.array_compact(F.array(*keys, none))
+
+
 def match_endpoints(claims: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Best endpoint of another repository for each HTTP call: equal paths, or one the end of the other.
 
-    claims: claim_id, method, path, repo; endpoints: endpoint_id, method, path, repo. The join key is the method
-    and the last segment (parameters stand for any); most literal segments win, then the least endpoint id.
+    claims: claim_id, method, path, repo; endpoints: endpoint_id, method, path, repo. Paths of fewer than two
+    segments match nothing. Equal paths win, then most literal segments, then the least endpoint id.
     """
     c = claims.select("claim_id", F.upper("method").alias("method"), F.col("repo").alias("c_repo"), path_segments(F.col("path")).alias("c")).filter("size(c) >= 2")
     e = endpoints.select("endpoint_id", F.upper("method").alias("method"), F.col("repo").alias("e_repo"), path_segments(F.col("path")).alias("e")).filter("size(e) >= 2")
-    last = lambda col: F.explode(F.array(F.element_at(col, -1), F.lit("*")))
-    pairs = c.withColumn("last", last("c")).join(e.withColumn("last", last("e")), ["method", "last"]).filter("c_repo <> e_repo").drop("last")
+    pairs = c.withColumn("end", F.explode(_ends("c", True))).join(e.withColumn("end", F.explode(_ends("e", False))), ["method", "end"]).filter("c_repo <> e_repo")
     n = F.least(F.size("c"), F.size("e"))
     tail = lambda col: F.slice(col, F.size(col) - n + 1, n)
-    wild = lambda s: s.startswith(":")
+    wild = lambda s: s == ":param"
     fits = F.forall(F.zip_with(tail("c"), tail("e"), lambda x, y: (x == y) | wild(x) | wild(y)), lambda ok: ok)
     literal = F.size(F.filter(F.zip_with(tail("c"), tail("e"), lambda x, y: (x == y) & ~wild(x)), lambda ok: ok))
-    exact = F.col("c") == F.col("e")
-    found = pairs.filter(fits).groupBy("claim_id").agg(F.min(F.struct((~exact).alias("inexact"), (-literal).alias("less"), "endpoint_id")).alias("best"))
+    found = pairs.filter(fits).groupBy("claim_id").agg(F.min(F.struct((F.col("c") != F.col("e")).alias("inexact"), (-literal).alias("less"), "endpoint_id")).alias("best"))
     return found.select("claim_id", "best.endpoint_id", (~F.col("best.inexact")).alias("exact"))
 
 
