@@ -93,7 +93,7 @@ selector: COMBINATOR? compound (COMBINATOR? compound)* ;
 compound: simple+ ;
 simple: IDENT | '*' | PERCENT | HASH | CLASS | '&' | '|' | ':' ':'? (IDENT | FUNCTION any* ')') | '[' IDENT ('|' IDENT)? (MATCH (IDENT | STRING) IDENT?)? ']' ;
 declaration: (IDENT | CUSTOM) ':' term* ('!' IDENT)? ;
-term: IDENT | CUSTOM | NUMBER | PERCENT | HASH | STRING | URL | FUNCTION any* ')' | '(' any* ')' | '[' any* ']' | ',' | '/' | '*' | COMBINATOR | CLASS ;
+term: IDENT | CUSTOM | NUMBER | PERCENT | HASH | STRING | URL | FUNCTION any* ')' | '(' any* ')' | '[' any* ']' | ',' | '/' | '*' | '-' | COMBINATOR | CLASS ;
 any: term | ':' | '&' | '|' | '<' | MATCH | AT ;
 prelude: prelude_part* ;
 prelude_part: term | ':' | '&' | '|' ;

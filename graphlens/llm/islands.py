@@ -142,9 +142,12 @@ class _TypeScript:
 
     def type(self, i: int) -> int:
         """Past the type that begins at i."""
-        operand = True
+        operand, group = True, False  # group: a parenthesis has just closed, so an arrow goes on with the type
         while i < self.n:
             name = self.names[i]
+            if name == "=>" and not group:
+                return i
+            group = name == "("
             if name in ("DOC", "COMMENT"):
                 i += 1
             elif name == "{":

@@ -123,7 +123,7 @@ _CSS = re.compile(
     |(?P<function>{_CSS_ID}\()|(?P<custom>--[\w\-\u0080-\U0010ffff]+)|(?P<lit><!--|-->)
     |(?P<percent>[-+]?(?:\d+\.?\d*|\.\d+)%)|(?P<number>[-+]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][-+]?\d+)?(?:{_CSS_ID})?)
     |(?P<ident>{_CSS_ID})|(?P<at_import>@(?:import|charset|namespace)\b)|(?P<at>@{_CSS_ID})|(?P<hash>\#[\w\-\u0080-\U0010ffff]+)|(?P<class>\.{_CSS_ID})
-    |(?P<match>[~|^$*]?=)|(?P<combinator>>|\+|~|\|\|)|(?P<lit2>[{{}}()\[\],;:*!/&|<])""",
+    |(?P<match>[~|^$*]?=)|(?P<combinator>>|\+|~|\|\|)|(?P<lit2>[{{}}()\[\],;:*!/&|<-])""",
     re.X | re.S,
 )
 
