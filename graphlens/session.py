@@ -61,6 +61,16 @@ def ship(spark: SparkSession) -> None:
     sc._graphlens_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores, where its scan has fewer.
+
+    For rows that cost much more to work on than to move. A scan of large tables has more splits than
+    that, and stays as it is: without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 class Scratch:
     """Intermediate tables of one operator run, under the shared folder.
 
