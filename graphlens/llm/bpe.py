@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.session import ship
+from graphlens.session import ship, spread
 
 #: Where the public tokenizers lie; a parameter of everything below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -224,7 +224,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     """key and ``ids`` (array<int>) of each text, without special tokens.
 
     Strings that name special tokens are ordinary text. Whole texts are encoded, in chunks, in the tasks
-    that scan them: no shuffle. Defined results: the empty list for null and for empty texts; repeated rows
+    that scan them (spread out first if these are fewer than the cores). Defined results: the empty list for null and for empty texts; repeated rows
     repeat; no rows give no rows; other columns are not read.
     """
     ship(docs.sparkSession)
@@ -236,4 +236,4 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path
             lists = [encoder.ids(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

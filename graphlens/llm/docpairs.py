@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.islands import ISLANDS, is_trivial
 from graphlens.llm.syntax import is_valid, language_of
-from graphlens.session import ship
+from graphlens.session import ship, spread
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,4 +36,4 @@ def doc_pairs(files: DataFrame, key: str = "file_id", path: str = "file_path", b
     ship(files.sparkSession)
     picked = files.select(F.col(key).alias("file_id"), language_of(F.col(path)).alias("language"), F.col(body).alias("body"))
     picked = picked.filter(F.col("language").isin(*ISLANDS) & F.col("body").isNotNull())
-    return picked.mapInPandas(_pairs, f"file_id {files.schema[key].dataType.simpleString()}, qualname string, def_line int, language string, documentation string")
+    return spread(picked).mapInPandas(_pairs, f"file_id {files.schema[key].dataType.simpleString()}, qualname string, def_line int, language string, documentation string")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.session import Scratch
+from graphlens.session import Scratch, spread
 
 #: Words of a shared run, and of a fingerprinted gram. The window of winnowing follows from both.
 RUN, GRAM = 12, 8
@@ -130,7 +130,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM) -
     items = scratch.save(items.select("item_id", "item_text").filter("item_text is not null").distinct(), "items")
     schema = "id long, fp long, at int"
     test = scratch.save(items.mapInPandas(_print_rows(run, gram), schema).select(F.col("id").alias("item_id"), "fp", F.col("at").alias("item_at")).distinct(), "prints")
-    corpus = docs.filter("text is not null").mapInPandas(_print_rows(run, gram), schema)
+    corpus = spread(docs.filter("text is not null")).mapInPandas(_print_rows(run, gram), schema)
     hits = corpus.join(test, "fp").select(F.col("id").alias("doc_id"), "item_id", "at", "item_at")
     pairs = scratch.save(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("hits")), "pairs")
     full = pairs.join(docs, "doc_id").join(items, "item_id").sortWithinPartitions("doc_id")

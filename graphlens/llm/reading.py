@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.llm.leaks import words
-from graphlens.session import Scratch
+from graphlens.session import Scratch, spread
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _NO_PROSE = re.compile(r"^(?:#|\||>|[A-Z][\w ]{0,20}:\s*[\w.-]+$|[-=*_]{3,}$)")
@@ -109,7 +109,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = 40, le
     spark = docs.sparkSession
     scratch = Scratch(spark, "reading")
     graded = labels.filter("reading_level is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("grade"))
-    picked = docs.select("doc_id", "text").filter("text is not null").mapInPandas(_edges(least_words), "doc_id long, feats array<long>, counts array<double>")
+    picked = spread(docs.select("doc_id", "text").filter("text is not null")).mapInPandas(_edges(least_words), "doc_id long, feats array<long>, counts array<double>")
     graph = scratch.save_bucketed(picked.dropDuplicates(["doc_id"]).join(graded, "doc_id", "left"), "graph", ["doc_id"])
     edges = graph.select("doc_id", "grade", F.explode(F.arrays_zip("feats", "counts")).alias("e")).select("doc_id", "grade", F.col("e.feats").alias("feat"), F.col("e.counts").alias("a"))
     mu, spread = graph.filter("grade is not null").agg(F.avg("grade"), F.coalesce(F.var_pop("grade"), F.lit(0.0))).first()

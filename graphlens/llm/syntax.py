@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.ids import norm_id
 from graphlens.llm.grammars import grammar
 from graphlens.llm.lexers import LEXERS
-from graphlens.session import ship
+from graphlens.session import ship, spread
 
 #: The extensions of each language.
 EXTENSIONS = {"py": "python", "ts": "typescript", "json": "json", "yaml": "yaml", "yml": "yaml", "css": "css", "cs": "csharp"}
@@ -57,7 +57,7 @@ def check_files(files: DataFrame, keys: list[str], path: str = "file_path", body
     """keys, ``language`` and ``valid`` of each file whose path names a supported language.
 
     Each body is recognised by the grammar of its language, all dialects in one pass; ``valid`` is
-    false where every dialect rejects it. Whole bodies are read, in the tasks that scan them: no shuffle.
+    false where every dialect rejects it. Whole bodies are read, in the tasks that scan them (spread out first if these are fewer than the cores).
 
     Defined results: a null body has ``valid`` null; an empty body is valid except for JSON; null paths
     and other extensions give no row; repeated rows repeat; no rows give no rows. Other columns than
@@ -67,7 +67,7 @@ def check_files(files: DataFrame, keys: list[str], path: str = "file_path", body
     picked = files.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], language_of(F.col(path)).alias("language"), F.col(body).alias("body"))
     picked = picked.filter("language is not null")
     schema = ", ".join([*(f"k{i} {files.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)), "language string, valid boolean"])
-    out = picked.mapInPandas(_verdicts, schema)
+    out = spread(picked).mapInPandas(_verdicts, schema)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "language", "valid")
 
 
