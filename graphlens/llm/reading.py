@@ -112,7 +112,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = 40, le
     picked = spread(docs.select("doc_id", "text").filter("text is not null")).mapInPandas(_edges(least_words), "doc_id long, feats array<long>, counts array<double>")
     graph = scratch.save_bucketed(picked.dropDuplicates(["doc_id"]).join(graded, "doc_id", "left"), "graph", ["doc_id"])
     edges = graph.select("doc_id", "grade", F.explode(F.arrays_zip("feats", "counts")).alias("e")).select("doc_id", "grade", F.col("e.feats").alias("feat"), F.col("e.counts").alias("a"))
-    mu, spread = graph.filter("grade is not null").agg(F.avg("grade"), F.coalesce(F.var_pop("grade"), F.lit(0.0))).first()
+    mu, var = graph.filter("grade is not null").agg(F.avg("grade"), F.coalesce(F.var_pop("grade"), F.lit(0.0))).first()
     if mu is None:
         return graph.select("doc_id", F.lit(None).cast("int").alias("reading_level"))
     # Features as their graded documents show them, with three average documents added to each.
@@ -121,7 +121,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = 40, le
         F.sum(F.col("a") * F.col("grade")).alias("s"), F.sum(F.col("a") * F.col("grade") * F.col("grade")).alias("q"),
     ).filter(F.col("n_docs") >= min_docs).fillna(0.0)
     mean = (F.col("s") + 3 * mu) / (F.col("n") + 3)
-    variance = (F.col("q") + 3 * (spread + mu * mu)) / (F.col("n") + 3) - mean * mean
+    variance = (F.col("q") + 3 * (var + mu * mu)) / (F.col("n") + 3) - mean * mean
     state = scratch.save(seen.select("feat", mean.alias("g"), (1 / (F.greatest(variance, F.lit(0.0)) + smooth)).alias("q"), F.lit(0.0).alias("total"), F.lit(0.0).alias("weight")), "features")
     hint = F.broadcast if state.count() <= BROADCAST_ROWS else (lambda df: df)
 
