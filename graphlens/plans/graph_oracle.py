@@ -106,7 +106,40 @@ _DEC = r"(?m)^  - id: (DEC-\d+)\n    summary: [^\n]*\n    enables: \[([^\]\n]*)\
 _words = list(dict.fromkeys(__import__("re").findall(r"[a-z0-9]+", q.TASK.lower())))
 _W = "[" + ", ".join(f"'{w}'" for w in _words) + "]"
 
+_RECORDS = f"""t AS (SELECT DISTINCT body, regexp_extract(body, '(?m)^id: ([^ ' || chr(10) || ']+)', 1) AS adr_id FROM {_of('yaml', 'yml')}), m AS (SELECT adr_id, unnest(regexp_extract_all(body, '{_DEC}', 0)) AS m FROM t WHERE adr_id <> ''),
+  f AS (SELECT adr_id, regexp_extract(m, '(DEC-[0-9]+)', 1) AS dec, regexp_extract(m, 'enables: [[]([^]]*)[]]', 1) AS caps FROM m),
+  decl AS (SELECT DISTINCT 'declares' AS rel_type, adr_id AS src, dec AS dst FROM f UNION SELECT DISTINCT 'enables', dec, cap FROM (SELECT dec, unnest(string_split_regex(caps, ', *')) AS cap FROM f) WHERE cap <> '')"""
+_STEP = """SELECT seed, node, arg_min(rel_type, (NOT hard, rel_type)) AS via, bool_or(hard) AS hard FROM (SELECT f.seed, r.dst AS node, r.rel_type, r.rel_type IN ('implements', 'implemented_by') AS hard FROM {front} f JOIN cr r ON f.node = r.src {where}) WHERE (seed, node) NOT IN ({seen}) GROUP BY ALL"""
+_LATER = "WHERE r.rel_type IN ('implements', 'implemented_by')"
+
 ORACLE = {
+    "record_relationships": f"WITH {_RECORDS} SELECT rel_type, src, dst, 'explicit' AS origin FROM decl UNION ALL SELECT 'enabled_by', dst, src, 'derived' FROM decl WHERE rel_type = 'enables'",
+    "record_governance": f"WITH {_RECORDS} SELECT src AS decision_id, 0::BIGINT AS n_governs, count(*) AS n_enables, 0::BIGINT AS n_enforces FROM decl WHERE rel_type = 'enables' GROUP BY src",
+    "record_gaps": f"WITH {_RECORDS} SELECT DISTINCT rel_type, src AS source_id, dst AS missing_id FROM decl WHERE starts_with(dst, 'CAP-')",
+    "consequence_surface": f"""WITH {_WE}, cr AS (SELECT src, dst, verb AS rel_type FROM we UNION SELECT dst, src, 'implemented_by' FROM we WHERE verb = 'implements'), s0 AS (SELECT seed, seed AS node FROM {_hubs('we', 'src', 10)}),
+      s1 AS ({_STEP.format(front='s0', where='', seen='SELECT seed, node FROM s0')}), s2 AS ({_STEP.format(front='s1', where=_LATER, seen='SELECT seed, node FROM s0 UNION SELECT seed, node FROM s1')}),
+      s3 AS ({_STEP.format(front='s2', where=_LATER, seen='SELECT seed, node FROM s0 UNION SELECT seed, node FROM s1 UNION SELECT seed, node FROM s2')}),
+      a AS (SELECT *, 1 AS depth FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3) SELECT seed, node, depth, CASE WHEN hard THEN 'hard' ELSE 'soft' END AS tier, via FROM a""",
+    "dependency_charts": f"""WITH {_WN}, {_WE}, {_PLACED}, x AS (SELECT src_repo, dst_repo, count(*) AS n, array_to_string(list_sort(list_distinct(list(verb))), ',') AS verbs FROM pl WHERE src_repo <> dst_repo GROUP BY ALL),
+      l AS (SELECT src_repo, '  ' || regexp_replace(src_repo, '[^a-zA-Z0-9_]', '_', 'g') || ' -->|' || verbs || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '| ' || regexp_replace(dst_repo, '[^a-zA-Z0-9_]', '_', 'g') AS line FROM x)
+      SELECT src_repo, 'graph LR' || chr(10) || array_to_string(list_sort(list(line)), chr(10)) AS chart FROM l GROUP BY src_repo""",
+    "file_tags": f"""WITH f AS (SELECT DISTINCT file_id, {nid('file_path')} AS path FROM source_files), x AS (SELECT *, lower(path) AS p, regexp_extract(path, '[.]([A-Za-z]+)$', 1) AS e FROM f)
+      SELECT DISTINCT file_id, unnest(list_filter(['layer:' || CASE WHEN contains(p, '/api/') THEN 'api' WHEN contains(p, 'lambda') THEN 'lambda' WHEN contains(p, '/services/') THEN 'service' WHEN contains(p, '/data/') THEN 'data' WHEN contains(p, '/frontend/') THEN 'frontend'
+          WHEN contains(p, 'infra') THEN 'infrastructure' WHEN contains(p, '/jobs/') THEN 'recon' WHEN contains(p, 'scripts/') THEN 'scripts' WHEN contains(p, 'test') THEN 'test' ELSE 'util' END,
+        CASE WHEN e <> '' THEN 'lang:' || CASE e WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'cs' THEN 'csharp' ELSE e END END, CASE WHEN regexp_matches(p, '(^|/)tests?/|[._-](test|spec)[._]') THEN 'test' END], lambda t: t IS NOT NULL)) AS tag FROM x""",
+    "topology": f"""WITH RECURSIVE {_WE}, e AS (SELECT DISTINCT src, dst FROM we WHERE verb = 'implements'), n AS (SELECT src AS key FROM e UNION SELECT dst FROM e),
+      up AS (SELECT key, 0 AS depth FROM n UNION SELECT e.src, up.depth + 1 FROM up JOIN e ON e.dst = up.key WHERE up.depth < 12), h AS (SELECT key, max(depth)::INTEGER AS depth FROM up GROUP BY key),
+      j AS (SELECT h.*, coalesce(g.degree, 0) AS degree FROM h LEFT JOIN (SELECT src, count(*) AS degree FROM e GROUP BY src) g ON h.key = g.src),
+      m AS (SELECT count(*) AS n_nodes, round(avg(depth), 6) AS avg_depth, max(depth) AS max_depth, quantile_disc(depth, 0.95) AS p95_depth, round(avg(degree), 6) AS avg_degree, max(degree) AS max_degree FROM j),
+      p AS (SELECT *, CASE WHEN max_depth > 5 AND NOT max_degree > 20 AND avg_degree < 5 THEN 'component-tree' WHEN NOT max_depth > 5 AND max_degree > 20 AND avg_depth < 3 THEN 'microservices'
+        WHEN avg_depth BETWEEN 2 AND 4 AND NOT max_degree > 20 THEN 'layered' WHEN avg_depth <= 2 AND avg_degree <= 3 THEN 'flat' ELSE 'mixed' END AS pattern FROM m)
+      SELECT *, least(greatest(CASE WHEN pattern = 'component-tree' THEN 4 WHEN pattern IN ('layered', 'flat') THEN 2 ELSE 3 END, ceil(p95_depth * 0.6)), 5)::INTEGER AS recommended_depth FROM p""",
+    "context_bundles": f"""WITH RECURSIVE {_SF}, b2 AS (SELECT src, dst FROM sf UNION SELECT dst, src FROM sf), {_ball('b2', _hubs('sf', 'src', 5), 1)},
+      l AS (SELECT node, min(u) AS source_uri FROM (SELECT {_K} AS node, {nid('source_files[1]')} AS u FROM slices) WHERE u IS NOT NULL AND node IS NOT NULL GROUP BY node),
+      r AS (SELECT b.*, source_uri, row_number() OVER (PARTITION BY seed ORDER BY depth, b.node) AS rank FROM ball b LEFT JOIN l ON b.node = l.node),
+      s AS (SELECT *, sum((source_uri IS NOT NULL AND rank <= 50)::INT) OVER (PARTITION BY seed ORDER BY depth, node) AS source_rank FROM r),
+      x AS (SELECT *, CASE WHEN rank > 50 THEN 'node_limit' WHEN source_uri IS NULL THEN 'no_source' WHEN source_rank > 10 THEN 'source_limit' END AS reason FROM s)
+      SELECT seed, node, depth, source_uri, reason IS NULL AS included, reason FROM x""",
     "graph_stats": f"""WITH {_SN}, {_SF}, c AS (SELECT src, count(*) AS refs FROM sf GROUP BY src), j AS (SELECT sn.*, c.refs FROM sn LEFT JOIN c ON sn.key = c.src)
       SELECT 'domain' AS level, domain AS value, count(*) AS n_nodes, coalesce(sum(refs), 0)::BIGINT AS n_refs FROM j GROUP BY domain
       UNION ALL SELECT 'type', type, count(*), coalesce(sum(refs), 0)::BIGINT FROM j GROUP BY type UNION ALL SELECT 'total', '*', count(*), coalesce(sum(refs), 0)::BIGINT FROM j""",

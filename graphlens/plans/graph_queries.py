@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.ids import norm_id, slice_key
-from graphlens.operators import context, delta, search, structure, traverse, workspace
+from graphlens.operators import architecture, bundles, context, delta, infer, render, search, structure, traverse, workspace
 from graphlens.plans.data_queries import p1_found
 from graphlens.session import table
 from graphlens.sources import extract
@@ -333,6 +333,59 @@ def _files(s, d):
     return table(s, d, "source_files")
 
 
+def _records(s, d):
+    """Entities and declared links of the decision records among the source files."""
+    declared = extract.decision_edges(_files(s, d)).select(F.when(F.col("verb") == "introduces", "declares").otherwise("enables").alias("rel_type"), "src", "dst")
+    ends = declared.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    kind = F.when(F.col("id").startswith("DEC-"), "decision").when(F.col("id").startswith("CAP-"), "capability").otherwise("adr")
+    return ends.select("id", kind.alias("entity_type")), declared
+
+
+def record_relationships(s, d):
+    return architecture.derive(*_records(s, d))
+
+
+def record_governance(s, d):
+    e, declared = _records(s, d)
+    return architecture.governance(e, architecture.derive(e, declared))
+
+
+def record_gaps(s, d):
+    """Enabled capabilities that no record declares."""
+    e, declared = _records(s, d)
+    return architecture.gaps(e.filter("entity_type <> 'capability'"), declared)
+
+
+def consequence_surface(s, d):
+    n, e = _ws(s, d)
+    rels = e.select("src", "dst", F.col("verb").alias("rel_type")).unionByName(e.filter("verb = 'implements'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("implemented_by").alias("rel_type")))
+    return architecture.consequences(rels, sources(e), 3)
+
+
+def dependency_charts(s, d):
+    deps = workspace.system_dependencies(*_ws(s, d))
+    return render.flow_chart(deps, "src_repo", "src_repo", "dst_repo", render.multiplicity(F.col("verbs"), F.col("n_edges")))
+
+
+def import_edges(s, d):
+    files = _files(s, d).select("file_id", "repo", norm_id("file_path").alias("path")).distinct()
+    return infer.import_edges(files, extract.imports(_files(s, d)))
+
+
+def file_tags(s, d):
+    return infer.tags(_files(s, d).select("file_id", norm_id("file_path").alias("path")).distinct())
+
+
+def call_edges(s, d):
+    return infer.call_edges(extract.python_facts(_files(s, d)).select("file_id", "kind", "name").distinct())
+
+
+def context_bundles(s, d):
+    f = g.slice_edges(s, d)
+    files = table(s, d, "slices").select(slice_key(F.col("slice_domain"), F.col("slice_type"), F.col("slice_id")).alias("node"), norm_id(F.try_element_at("source_files", F.lit(1))).alias("source_uri")).dropna()
+    return bundles.bundle(f, sources(f, 5), files.distinct(), depth=1)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -340,6 +393,7 @@ QUERIES = {
         dependencies_d2, dependents_d2, blast_d2, blast_tiers, blast_risk, closure_forward, closure_reverse, walk_exact, relevant_files, shared_context, context_domains, obligations,
         system_dependencies, verb_counts, repo_types, component_integration, what_calls, group_sizes, adjacency, first_wins, identity_collisions, merged_graph, relationship_pivot, gravity, prefix_affinity,
         embodiment, height, topology, change_counts, locator_freshness, stale_slices, checksum_drift, coverage, schema_findings, duplicate_ids, id_changes, manifest_diff, signature_changes, debounced, transactions, bursts,
+        record_relationships, record_governance, record_gaps, consequence_surface, dependency_charts, import_edges, file_tags, call_edges, context_bundles,
     )
 } | {
     "compress_l0": compress(0), "compress_l1": compress(1), "compress_l2": compress(2), "compress_l3": compress(3),
