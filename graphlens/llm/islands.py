@@ -248,7 +248,7 @@ class _TypeScript:
                 while j < n and names[j] not in ("{", ";"):
                     j = self.angles(j) if names[j] == "<" else j + 1
                 i, doc = self.balanced(j) if j < n and names[j] == "{" else j, None
-            elif name in ("namespace", "module") and i + 2 < n and names[i + 2] in ("{", "."):
+            elif name in ("namespace", "module") and names[i + 2] in ("{", ".") and (names[i + 1] == "STRING" or re.match(r"[\w$]", self.word(i + 1))):
                 outer, j = scopes[-1][1] if scopes else "", i + 1
                 while j < n and names[j] != "{":
                     j += 1
