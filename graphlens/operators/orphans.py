@@ -21,7 +21,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, scratch: Scratch, flo
 
     refs: ``target_id``, ``recorded_at`` and any further columns. parents: ``target_id``, ``begins``,
     ``ends`` as of ``lifetimes``; null begins is since ever, null ends is still there. Result: the
-    columns of refs and ``reason``: missing (no lifetime at all), late (all begin later), deleted.
+    columns of refs (but for a column of that name) and ``reason``: missing (no lifetime at all), late (all begin later), deleted.
 
     Defined results: null targets are no reference; without ``recorded_at`` a reference is a case
     only if its target is missing; repeated rows stay as they are in refs; without parents all
@@ -31,6 +31,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, scratch: Scratch, flo
     Only what is found gets joined with the parents again, for the reason, and with the referring
     rows, by target and time, so that a hot target is spread there too.
     """
+    refs = refs.drop("reason")
     keys = scratch.save(refs.select("target_id", "recorded_at").filter("target_id is not null").distinct(), "keys")
     alive = lambda l, r: (
         (r["begins"].isNull() | l["recorded_at"].isNull() | (r["begins"] <= l["recorded_at"]))

@@ -11,6 +11,8 @@ PATTERNS = {"has_contract": "HTTP API", "reads": "Shared Database", "writes": "S
 TIERS = {"calls": 1, "publishes": 1, "consumes": 1, "deploys_to": 2, "invokes": 2, "contains": 2, "has_contract": 3, "reads": 4, "writes": 4, "references": 5}
 #: Types whose nodes are never grouped.
 SINGLE_TYPES = ("StateMachine", "Bucket", "Service")
+#: Types of helpers that overviews leave out.
+AUXILIARY_TYPES = ("Role", "SecurityGroup", "LogGroup", "Alarm", "Certificate", "DNSRecord")
 CALL_VERBS = ("invokes", "publishes", "calls", "triggers", "publishes_to")
 
 
@@ -49,26 +51,60 @@ def admitted(nodes: DataFrame, edges: DataFrame, level: int) -> DataFrame:
     return placed(nodes, edges).filter(rule)
 
 
-def compressed_nodes(nodes: DataFrame, level: int, least: int = 3) -> DataFrame:
-    """id → node_id of the compressed graph: repositories at 0, groups by repository and type at 1, else itself."""
+def capability(endpoint: Column) -> Column:
+    """Capability of an endpoint by its id ``Endpoint:repo:method:path-segments``: the first segment, or the one after ``api``."""
+    path = F.filter(F.split(F.array_join(F.slice(F.split(endpoint, ":"), 4, 100), ":"), "-"), lambda x: x != "")
+    first = F.lower(F.try_element_at(path, F.lit(1)))
+    name = F.when(F.size(path) >= 2, F.when(first == "api", F.try_element_at(path, F.lit(2))).otherwise(first))
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1000)))
+
+
+def overview_only(nodes: DataFrame) -> DataFrame:
+    """Nodes without alarm topics and helpers, which overviews leave out."""
+    alarm = (F.col("type") == "Topic") & F.lower("id").rlike("alarm|monitor")
+    return nodes.filter(~alarm & ~F.col("type").isin(*AUXILIARY_TYPES))
+
+
+def compressed_nodes(nodes: DataFrame, level: int, least: int = 3, least_capability: int = 2) -> DataFrame:
+    """id → group_id of the compressed graph.
+
+    0: repositories. 1: groups by repository and type. 2: endpoints by capability. 3 and 4: each for itself.
+    Groups are counted first and joined back, as a window would gather each of them in one task.
+    """
     if level == 0:
         return nodes.select("id", F.concat(F.lit("Service_"), "repo").alias("group_id"))
-    if level > 1:
+    if level > 2:
         return nodes.select("id", F.col("id").alias("group_id"))
-    # Counted first and joined back, as a window would gather each group in one task.
-    groups = nodes.groupBy("repo", "type").agg(F.count("*").alias("n"))
-    big = (F.col("n") >= least) & ~F.col("type").isin(*SINGLE_TYPES)
-    return nodes.join(groups, ["repo", "type"]).select("id", F.when(big, F.concat("type", F.lit("_group_"), "repo")).otherwise(F.col("id")).alias("group_id"))
-
-
-def compressed_edges(nodes: DataFrame, edges: DataFrame, level: int) -> DataFrame:
-    """Edges between compressed nodes with their multiplicity; loops drop out."""
-    groups = compressed_nodes(nodes, level)
+    if level == 1:
+        keyed, name = nodes.withColumn("part", F.col("type")), F.concat("part", F.lit("_group_"), "repo")
+        big = (F.col("n") >= least) & ~F.col("type").isin(*SINGLE_TYPES)
+    else:
+        keyed = nodes.withColumn("part", F.when(F.col("type") == "Endpoint", capability(F.col("id"))))
+        big, name = F.col("n") >= least_capability, F.concat("part", F.lit("_Domain_"), "repo")
+    groups = keyed.filter("part is not null").groupBy("repo", "part").agg(F.count("*").alias("n"))
+    return keyed.join(groups, ["repo", "part"], "left").select("id", F.when(big, name).otherwise(F.col("id")).alias("group_id"))
+
+
+def compressed_edges(nodes: DataFrame, edges: DataFrame, level: int, least: int = 3, least_capability: int = 2) -> DataFrame:
+    """Edges between compressed nodes with their multiplicity; loops drop out. Overviews (0, 1) leave helpers out."""
+    nodes = overview_only(nodes) if level <= 1 else nodes
+    groups = compressed_nodes(nodes, level, least, least_capability)
     shown = admitted(nodes, edges, level).select("src", "dst", "verb")
     ends = shown.join(groups.toDF("src", "from_group"), "src").join(groups.toDF("dst", "to_group"), "dst").filter("from_group <> to_group")
     return ends.groupBy("from_group", "to_group", "verb").agg(F.count("*").alias("multiplicity"))
 
 
+def within(nodes: DataFrame, edges: DataFrame, level: int, most: int) -> tuple[int, DataFrame]:
+    """(level, compressed edges) of the finest level up to ``level`` with at most ``most`` nodes.
+
+    Each step down groups from two nodes on and capabilities from one; from level 4 it goes straight to 0.
+    """
+    least, least_capability = 3, 2
+    while level > 0 and compressed_nodes(overview_only(nodes) if level <= 1 else nodes, level, least, least_capability).select("group_id").distinct().count() > most:
+        level, least, least_capability = (0 if level == 4 else level - 1), 2, 1
+    return level, compressed_edges(nodes, edges, level, least, least_capability)
+
+
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Matrix of node types: for each source type and target type the verbs between them."""
     cells = placed(nodes, edges).groupBy("src_type", "dst_type").agg(F.array_join(F.array_sort(F.collect_set("verb")), ",").alias("verbs"))

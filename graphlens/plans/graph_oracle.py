@@ -82,9 +82,13 @@ _G1 = """gr AS (SELECT n.id, CASE WHEN c.n >= 3 AND n.type NOT IN ('StateMachine
   FROM wn n JOIN (SELECT repo, type, count(*) AS n FROM wn GROUP BY ALL) c ON n.repo = c.repo AND n.type = c.type)"""
 
 
+_SEEN = "NOT (type = 'Topic' AND regexp_matches(lower(id), 'alarm|monitor')) AND type NOT IN ('Role', 'SecurityGroup', 'LogGroup', 'Alarm', 'Certificate', 'DNSRecord')"
+
+
 def _compress(level: int) -> str:
+    wn = _WN if level > 1 else f"{_WN.replace('wn AS', 'w0 AS', 1)}, wn AS (SELECT * FROM w0 WHERE {_SEEN})"
     groups = {0: "gr AS (SELECT id, 'Service_' || repo AS group_id FROM wn)", 1: _G1}.get(level, "gr AS (SELECT id, id AS group_id FROM wn)")
-    return f"""WITH {_WN}, {_WE}, {_PLACED}, {_admit(level)}, {groups}
+    return f"""WITH {wn}, {_WE}, {_PLACED}, {_admit(level)}, {groups}
       SELECT a.group_id AS from_group, b.group_id AS to_group, verb, count(*) AS multiplicity FROM sh JOIN gr a ON sh.src = a.id JOIN gr b ON sh.dst = b.id
       WHERE a.group_id <> b.group_id GROUP BY ALL"""
 

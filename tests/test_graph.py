@@ -117,3 +117,21 @@ def test_first_wins_and_collisions(spark, rows):
 def test_pivot_keeps_nodes_without_a_verb(spark, rows):
     e = spark.createDataFrame([("a", "b", "calls"), ("a", "c", "calls"), ("b", "c", "reads")], "src string, dst string, verb string")
     assert rows(workspace.pivot_relationships(e, ["calls", "reads"]).select(F.col("src"), "calls", "reads")) == [("a", 2, 0), ("b", 0, 1)]
+
+
+def test_capabilities_and_size_valve(spark, rows):
+    n = spark.createDataFrame([(f"Endpoint:r:GET:api-users-{k}", "Endpoint", "e", "r") for k in "abc"] + [("Endpoint:r:GET:orders-x", "Endpoint", "o", "r"), ("Endpoint:r:GET:x", "Endpoint", "x", "r"), ("q:b", "Bucket", "b", "q"), ("q:alarm-t", "Topic", "t", "q")], "id string, type string, name string, repo string")
+    e = spark.createDataFrame([("Endpoint:r:GET:api-users-a", "q:b", "calls"), ("Endpoint:r:GET:api-users-b", "q:b", "calls"), ("Endpoint:r:GET:orders-x", "q:b", "calls"), ("q:alarm-t", "Endpoint:r:GET:x", "calls")], "src string, dst string, verb string")
+    assert rows(workspace.compressed_edges(n, e, 2)) == [("Endpoint:r:GET:orders-x", "q:b", "calls", 1), ("Users_Domain_r", "q:b", "calls", 2), ("q:alarm-t", "Endpoint:r:GET:x", "calls", 1)]
+    assert rows(workspace.compressed_edges(n, e, 0)) == [("Service_r", "Service_q", "calls", 3)]
+    assert workspace.within(n, e, 3, 100)[0] == 3 and workspace.within(n, e, 3, 5)[0] == 2 and workspace.within(n, e, 4, 3)[0] == 0
+
+
+def test_nested_stacks(spark, rows):
+    from graphlens.operators import stacks
+
+    s = spark.createDataFrame([("a", "X", "b"), ("b", "Y", "c"), ("a", "Z", None)], "parent_template string, logical_id string, child_template string")
+    assert set(rows(stacks.topology(s))) == {("a", "root"), ("a#Z", "unresolved"), ("b", "child"), ("c", "child")}
+    b = spark.createDataFrame([("c#p", "reference", "b#p"), ("b#p", "reference", "a#p"), ("a#p", "literal", "7"), ("x", "reference", "y"), ("y", "reference", "x"), ("g", "reference", "gone"), ("u", "unsupported", None)], "key string, kind string, value string")
+    assert rows(stacks.resolve(b).select("key", "value", "reason")) == [("a#p", "7", None), ("b#p", "7", None), ("c#p", "7", None), ("g", None, "RESOURCE_NOT_FOUND"), ("u", None, "UNSUPPORTED_INTRINSIC"), ("x", None, "CYCLE_DETECTED"), ("y", None, "CYCLE_DETECTED")]
+    assert {r.key: r.reason for r in stacks.resolve(b, 1).collect()}["c#p"] == "MAX_DEPTH_EXCEEDED"

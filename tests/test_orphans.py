@@ -11,7 +11,7 @@ PARENTS = "target_id string, begins timestamp_ntz, ends timestamp_ntz"
 
 
 def found(spark, refs, parents, **kw):
-    r = spark.createDataFrame([(t, at, o, "x", 1) for t, at, o in refs], REFS).drop("reason")
+    r = spark.createDataFrame([(t, at, o, "x", 1) for t, at, o in refs], REFS)
     p = spark.createDataFrame(parents, PARENTS)
     return sorted((x.owner, x.target_id, x.reason) for x in orphans.orphan_references(r, p, Scratch(spark, "t"), **kw).collect())
 
