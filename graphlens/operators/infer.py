@@ -79,5 +79,5 @@ def tags(files: DataFrame) -> DataFrame:
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
-    """The references back: targets with the sorted set of their sources."""
-    return edges.groupBy(F.col("dst").alias("key")).agg(F.array_sort(F.collect_set("src")).alias("referenced_by"))
+    """The references back, a row each."""
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()

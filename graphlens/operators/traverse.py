@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.session import Scratch
@@ -90,8 +90,17 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 100) -
     """Depth-first walk in the order of targets, each node visited once: seed, ord, node, depth, via.
 
     Unlike a breadth-first search a node met deep first is not opened again nearer by, so the result is
-    a part of the ball of that depth. The ball comes from joins; only its edges go to a worker, one ball at a time.
+    a part of the ball of that depth. At most ``limit`` nodes are visited, so of each node's targets only the
+    first 2 · limit can ever matter: no more go on to the next level or to the worker that walks.
     """
-    ball = bfs(edges, seeds, depth)
-    inside = ball.filter(F.col("depth") < depth).join(edges.select("src", "dst"), F.col("node") == F.col("src")).select("seed", F.struct("src", "dst").alias("link"))
+    scratch = Scratch(edges.sparkSession, "walk")
+    links = edges.select("src", "dst").distinct()
+    frontier = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("node", F.col("seed"))
+    first = F.row_number().over(Window.partitionBy("seed", "src").orderBy("dst"))
+    levels = []
+    for _ in range(depth):
+        ahead = frontier.join(links, F.col("node") == F.col("src")).select("seed", "src", "dst").withColumn("n", first).filter(F.col("n") <= 2 * limit).drop("n")
+        levels.append(scratch.save(ahead, "level"))
+        frontier = levels[-1].select("seed", F.col("dst").alias("node")).distinct()
+    inside = reduce(DataFrame.unionByName, levels).select("seed", F.struct("src", "dst").alias("link"))
     return inside.groupBy("seed").agg(F.collect_set("link").alias("links")).mapInPandas(_walker(depth, limit), "seed string, ord int, node string, depth int, via string")

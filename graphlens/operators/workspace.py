@@ -39,8 +39,8 @@ def component_integration(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def what_calls(edges: DataFrame) -> DataFrame:
-    """Distinct direct callers of each node."""
-    return edges.filter(F.col("verb").isin(*CALL_VERBS)).groupBy(F.col("dst").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("callers"))
+    """Distinct direct callers of each node, a row each."""
+    return edges.filter(F.col("verb").isin(*CALL_VERBS)).select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
 
 
 def admitted(nodes: DataFrame, edges: DataFrame, level: int) -> DataFrame:
@@ -120,7 +120,7 @@ def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def identity_collisions(rows: DataFrame, key: str, repo: str = "repo") -> DataFrame:
     """Ids that more than one repository claims."""
-    return rows.groupBy(key).agg(F.countDistinct(repo).alias("n_repos"), F.array_join(F.array_sort(F.collect_set(repo)), ",").alias("repos")).filter("n_repos > 1")
+    return rows.groupBy(key).agg(F.countDistinct(repo).alias("n_repos"), F.min(repo).alias("first_repo"), F.max(repo).alias("last_repo")).filter("n_repos > 1")
 
 
 def merge_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

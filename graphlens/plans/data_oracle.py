@@ -35,7 +35,7 @@ WHERE p.repo IS NULL OR c.repo IS NULL OR c.state <> p.state
 P3 = f"""
 WITH RECURSIVE links AS (
   SELECT {nid('to_id')} AS child, min({nid('from_id')}) AS parent FROM merged_edges
-  WHERE lower(trim(verb)) = 'contains' AND from_id IS NOT NULL AND to_id IS NOT NULL GROUP BY 1),
+  WHERE lower({nid('verb')}) = 'contains' AND from_id IS NOT NULL AND to_id IS NOT NULL GROUP BY 1),
 nodes AS (SELECT child AS node_id FROM links UNION SELECT parent FROM links),
 tree AS (
   SELECT node_id, node_id AS root_id, 0 AS depth, node_id AS node_path FROM nodes WHERE node_id NOT IN (SELECT child FROM links)

@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contains_links(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "merged_edges").filter("lower(trim(verb)) = 'contains'")
+    edges = table(spark, d, "merged_edges").filter(F.lower(norm_id("verb")) == "contains")
     return edges.select(norm_id("from_id").alias("parent"), norm_id("to_id").alias("child"))
 
 

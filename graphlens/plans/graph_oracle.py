@@ -191,11 +191,11 @@ ORACLE = {
     "verb_counts": f"WITH {_WE} SELECT verb, count(*) AS n_edges FROM we GROUP BY verb",
     "repo_types": f"WITH {_WN} SELECT repo, type, count(*) AS n_nodes FROM wn GROUP BY ALL",
     "component_integration": f"WITH {_WN}, {_WE}, {_PLACED}, x AS (SELECT unnest(list_distinct([src_repo, dst_repo])) AS repo, {_case(workspace.PATTERNS, 'Other')} AS pattern FROM pl) SELECT repo, pattern, count(*) AS n_edges FROM x GROUP BY ALL",
-    "what_calls": f"WITH {_WE} SELECT dst AS id, array_to_string(list_sort(list_distinct(list(src))), ',') AS callers FROM we WHERE verb IN ('invokes', 'publishes', 'calls', 'triggers', 'publishes_to') GROUP BY dst",
+    "what_calls": f"WITH {_WE} SELECT DISTINCT dst AS id, src AS caller FROM we WHERE verb IN ('invokes', 'publishes', 'calls', 'triggers', 'publishes_to')",
     "group_sizes": f"WITH {_WN}, {_G1} SELECT group_id, count(*) AS n_members FROM gr GROUP BY group_id",
     "adjacency": f"WITH {_WN}, {_WE}, {_PLACED} SELECT src_type, dst_type, array_to_string(list_sort(list_distinct(list(verb))), ',') AS verbs FROM pl GROUP BY ALL",
     "first_wins": f"""SELECT id, repo, node_type FROM (SELECT {nid('node_id')} AS id, repo, node_type, row_number() OVER (PARTITION BY {nid('node_id')} ORDER BY created_at NULLS FIRST, repo NULLS FIRST, node_type NULLS FIRST) AS n FROM ws_nodes WHERE node_id IS NOT NULL) WHERE n = 1""",
-    "identity_collisions": f"""SELECT id, count(DISTINCT repo) AS n_repos, array_to_string(list_sort(list_distinct(list(repo))), ',') AS repos FROM (SELECT concat_ws('/', slice_domain, slice_type, {nid('slice_id')}) AS id, repo FROM slices) GROUP BY id HAVING count(DISTINCT repo) > 1""",
+    "identity_collisions": f"""SELECT id, count(DISTINCT repo) AS n_repos, min(repo) AS first_repo, max(repo) AS last_repo FROM (SELECT concat_ws('/', slice_domain, slice_type, {nid('slice_id')}) AS id, repo FROM slices) GROUP BY id HAVING count(DISTINCT repo) > 1""",
     "merged_graph": f"""WITH {_WN}, e AS (SELECT {nid('from_id')} AS src, {nid('to_id')} AS dst, lower(trim(verb)) AS verb, confidence FROM merged_edges)
       SELECT DISTINCT src, dst, verb FROM e JOIN wn a ON e.src = a.id JOIN wn b ON e.dst = b.id WHERE verb IS NOT NULL AND (a.repo <> b.repo OR confidence IS NULL OR confidence = 'high')""",
     "relationship_pivot": f"WITH {_WE} SELECT src, " + ", ".join(f"count(DISTINCT dst) FILTER (verb = '{v}') AS {v}" for v in ("calls", "contains", "implements", "invokes", "reads", "writes")) + " FROM we GROUP BY src",

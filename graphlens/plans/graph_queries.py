@@ -295,10 +295,9 @@ def id_changes(s, d):
 def manifest_diff(s, d):
     """Checksums by file between the first and the last extraction of each file."""
     rows = table(s, d, "slice_metadata").select(F.explode("source_files").alias("f"), "seq_no", "source_checksum").select(norm_id("f").alias("path"), F.struct("seq_no", "source_checksum").alias("v"))
-    half = table(s, d, "slice_metadata").agg(((F.max("seq_no") + F.min("seq_no")) / 2).alias("mid"))
-    split = rows.crossJoin(F.broadcast(half))  # one row
-    old = split.filter("v.seq_no <= mid").groupBy("path").agg(F.max("v").alias("v")).select("path", F.col("v.source_checksum").alias("digest"))
-    new = split.filter("v.seq_no > mid").groupBy("path").agg(F.max("v").alias("v")).select("path", F.col("v.source_checksum").alias("digest"))
+    mid = table(s, d, "slice_metadata").agg((F.max("seq_no") + F.min("seq_no")) / 2).first()[0] or 0.0
+    old = rows.filter(F.col("v.seq_no") <= mid).groupBy("path").agg(F.max("v").alias("v")).select("path", F.col("v.source_checksum").alias("digest"))
+    new = rows.filter(F.col("v.seq_no") > mid).groupBy("path").agg(F.max("v").alias("v")).select("path", F.col("v.source_checksum").alias("digest"))
     return delta.manifest_diff(old, new, "path", "digest")
 
 
@@ -321,7 +320,7 @@ def debounced(s, d):
 
 
 def transactions(s, d):
-    out = changes.transactions(_events(s, d), "event_type", "ts", "3 minutes")
+    out = changes.transactions_of_table(_events(s, d), "event_type", "ts", 180)
     return out.select(F.col("begins").cast("timestamp_ntz").alias("begins"), F.col("ends").cast("timestamp_ntz").alias("ends"), "n_events", F.array_join("keys", ",").alias("keys"))
 
 

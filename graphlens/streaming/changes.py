@@ -28,6 +28,30 @@ def transactions(events: DataFrame, key: str, at: str, gap: str, least: int = 2,
     return runs.agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set(key)).alias("keys"), F.min(at).alias("begins"), F.max(at).alias("ends")).filter(F.size("keys") >= least)
 
 
+def runs(events: DataFrame, at: str, gap_seconds: int, bucket_seconds: int = 3600) -> DataFrame:
+    """Events of a table with ``run``: when the run of events without a longer pause began that they are part of.
+
+    Runs go over all events, so they are found in buckets of time: within each by its order, and across
+    them by one row a bucket, which tells the last event and the last beginning before it.
+    """
+    micros = F.unix_micros(F.col(at))
+    placed = events.withColumn("_bucket", F.floor(micros / (bucket_seconds * 1_000_000)))
+    own, over = Window.partitionBy("_bucket").orderBy(at), Window.orderBy("_bucket")
+    ends = placed.groupBy("_bucket").agg(F.max(at).alias("_last")).select("_bucket", F.lag("_last").over(over).alias("_before"))
+    known = placed.join(ends, "_bucket").withColumn("_prior", F.coalesce(F.lag(at).over(own), "_before"))
+    fresh = F.col("_prior").isNull() | (micros - F.unix_micros("_prior") > gap_seconds * 1_000_000)
+    known = known.withColumn("_begins", F.when(fresh, F.col(at)))
+    begun = known.groupBy("_bucket").agg(F.max("_begins").alias("_begun")).select("_bucket", F.max("_begun").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = F.max("_begins").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("_inside", inside).join(begun, "_bucket").withColumn("run", F.coalesce("_inside", "_carried")).drop("_bucket", "_before", "_prior", "_begins", "_inside", "_carried")
+
+
+def transactions_of_table(events: DataFrame, key: str, at: str, gap_seconds: int, least: int = 2) -> DataFrame:
+    """As ``transactions``, for a table of any size; the keys of one run are gathered, all else is summed before."""
+    grouped = runs(events, at, gap_seconds).groupBy("run").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set(key)).alias("keys"), F.min(at).alias("begins"), F.max(at).alias("ends"))
+    return grouped.filter(F.size("keys") >= least).drop("run")
+
+
 def bursts(events: DataFrame, key: str, at: str, seconds: int, least: int) -> DataFrame:
     """Events of a table with whether ``least`` events of their key lie in the ``seconds`` up to them."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))

@@ -33,6 +33,13 @@ def test_debounce_and_transactions_of_a_table(spark, rows):
     assert rows(changes.bursts(events(spark), "path", "ts", 2, 2).select("path", "in_burst")) == [("a", False), ("a", False), ("a", True), ("b", False)]
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 3600])
+def test_runs_do_not_depend_on_buckets(spark, rows, bucket):
+    e = spark.createDataFrame([(S(k),) for k in (0, 1, 3, 10, 12, 14, 16, 18, 30, 34, 35)], "ts timestamp")
+    assert rows(changes.runs(e, "ts", 3, bucket).groupBy("run").count()) == [(S(0), 3), (S(10), 5), (S(30), 1), (S(34), 2)]
+    assert rows(changes.transactions_of_table(events(spark), "path", "ts", 3).select("n_events", "keys")) == [(3, ["a", "b"])]
+
+
 def test_debounce_of_a_stream(spark, tmp_path, rows):
     events(spark).unionByName(spark.createDataFrame([("z", "add", S(1000))], "path string, event string, ts timestamp")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("path string, event string, ts timestamp").parquet(str(tmp_path / "in"))

@@ -59,6 +59,12 @@ def test_breadth_first_keeps_what_depth_first_hides(spark, chain):
     assert [(r.ord, r.node, r.depth) for r in traverse.walk(chain, seed, 2).orderBy("ord").collect()] == [(1, "b", 1), (2, "c", 2)]
 
 
+def test_walks_of_wide_nodes_keep_their_limit(spark):
+    edges = spark.createDataFrame([("s", f"n{k:03d}") for k in range(300)] + [("n000", f"m{k:03d}") for k in range(300)], "src string, dst string")
+    got = [(r.node, r.depth) for r in traverse.walk(edges, spark.createDataFrame([("s",)], "s string"), 2, 10).orderBy("ord").collect()]
+    assert got == [("n000", 1), *((f"m{k:03d}", 2) for k in range(9))]
+
+
 def test_closures_end_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = traverse.reached(edges, spark.createDataFrame([("a",), ("d",)], "s string"), None)
@@ -111,7 +117,7 @@ def test_context_budget_marks_the_rest(spark, rows):
 def test_first_wins_and_collisions(spark, rows):
     r = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("x", 1, "a"), ("y", 1, "a")], "id string, at int, repo string")
     assert rows(workspace.first_wins(r, "id", ["at"])) == [("x", 1, "a"), ("y", 1, "a")]
-    assert rows(workspace.identity_collisions(r, "id")) == [("x", 2, "a,b")]
+    assert rows(workspace.identity_collisions(r, "id")) == [("x", 2, "a", "b")]
 
 
 def test_pivot_keeps_nodes_without_a_verb(spark, rows):
