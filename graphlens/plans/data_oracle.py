@@ -32,6 +32,15 @@ FROM cur c FULL JOIN pri p ON c.repo = p.repo AND c.slice_id = p.slice_id AND c.
 WHERE p.repo IS NULL OR c.repo IS NULL OR c.state <> p.state
 """
 
+P1_OLD = f"""
+WITH c AS (SELECT * FROM ({P1}) WHERE change_kind <> 'added'),
+good AS (SELECT DISTINCT {nid('repo')} AS repo, snapshot_no FROM snapshot_index WHERE status = 'success'),
+pairs AS (SELECT repo, snapshot_no, lag(snapshot_no) OVER (PARTITION BY repo ORDER BY snapshot_no) AS prior_no FROM good),
+l AS (SELECT {nid('repo')} AS repo, {nid('slice_id')} AS slice_id, snapshot_no AS prior_no, arg_max({{'c': source_checksum, 'l': line_no}}, delivered_at) AS v FROM slice_snapshots GROUP BY ALL)
+SELECT c.repo, c.slice_id, c.snapshot_no, c.change_kind, l.v.c AS old_source_checksum, l.v.l AS old_line_no
+FROM c JOIN pairs p ON c.repo = p.repo AND c.snapshot_no = p.snapshot_no JOIN l ON l.repo = c.repo AND l.slice_id = c.slice_id AND l.prior_no = p.prior_no
+"""
+
 P3 = f"""
 WITH RECURSIVE links AS (
   SELECT {nid('to_id')} AS child, min({nid('from_id')}) AS parent FROM merged_edges
@@ -91,4 +100,4 @@ SELECT run_id, slice_id FROM seen
 WHERE old_instant IS NULL OR (instant <> old_instant AND (content[2] IS NULL OR old_content[2] IS NULL OR content <> old_content))
 """
 
-ORACLE = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_counts": P4_COUNTS, "p5_found": P5}
+ORACLE = {"p1_found": P1, "p1_old_values": P1_OLD, "p3_found": P3, "p4_found": P4, "p4_counts": P4_COUNTS, "p5_found": P5}
