@@ -233,9 +233,10 @@ def relationship_pivot(s, d):
 
 
 def gravity(s, d):
+    """Of every node that implements something."""
     e = g.workspace_edges(s, d).filter("verb in ('implements', 'contains', 'has_contract', 'deploys_to')")
-    tops = sources(e.filter("verb = 'implements'"), 50)
-    return workspace.gravity(e.join(tops.select(F.col("seed").alias("src")), "src", "left_semi"), {"implements": 3, "has_contract": 2, "contains": 2, "deploys_to": 1}, traverse.reached(reverse(e), tops, 2))
+    scored = e.filter("verb = 'implements'").select("src").distinct()
+    return workspace.gravity(e.join(scored, "src", "left_semi"), {"implements": 3, "has_contract": 2, "contains": 2, "deploys_to": 1}, traverse.reached(reverse(e), scored, 2))
 
 
 def prefix_affinity(s, d):
