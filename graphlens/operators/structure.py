@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,28 +67,41 @@ def health(nodes: DataFrame, forward: DataFrame, backward: DataFrame) -> DataFra
     return wide.withColumn("is_healthy", (F.col("n_broken") == 0) & (F.col("n_one_sided") == 0))
 
 
-def longest_depths(nodes: DataFrame, edges: DataFrame, key: str = "key", rounds: int = 64) -> DataFrame:
-    """Longest way down from each node of an acyclic graph: key, depth.
+def _layers(edges: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Sources of ``edges`` by the longest way down, from 1 on, and the edges between what lies on or above a cycle.
+
+    A node joins the layer of the round in which the last of its targets is taken away, however many rounds that takes.
+    """
+    layers = []
+    layer = scratch.save(edges.select(F.col("dst").alias("n")).distinct().join(edges.select(F.col("src").alias("n")), "n", "left_anti"), "layer")
+    while layer.limit(1).count():
+        rest = scratch.save(edges.join(layer.select(F.col("n").alias("dst")), "dst", "left_anti").select("src", "dst"), "rest")
+        layer = scratch.save(edges.select(F.col("src").alias("n")).distinct().join(rest.select(F.col("src").alias("n")), "n", "left_anti"), "layer")
+        layers.append(layer)
+        edges = rest
+    return layers, edges
+
+
+def longest_depths(nodes: DataFrame, edges: DataFrame, key: str = "key") -> DataFrame:
+    """Longest way down from each node: key, depth; rounds go on until every node has its depth.
 
-    Nodes without outgoing edges have depth 0; in each round what points at the last layer moves up. What lies
-    on or above a cycle would move for ever, so the rounds are bounded and such nodes keep the bound.
+    Nodes without outgoing edges have depth 0. So have nodes of cycles, and those on a way from one cycle to
+    another: edges that leave them do not count, and nodes above them count up from there.
     """
     scratch = Scratch(nodes.sparkSession, "depths")
     valid = edges.join(nodes.select(F.col(key).alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
     valid = scratch.save(valid, "edges")
-    layer, depth = nodes.select(F.col(key).alias("n")), 0
-    found = scratch.save(layer.withColumn("depth", F.lit(0)), "layer")
-    parts = [found]
-    while depth < rounds:
-        depth += 1
-        layer = scratch.save(valid.join(layer.select(F.col("n").alias("dst")), "dst", "left_semi").select(F.col("src").alias("n")).distinct(), "layer")
-        if not layer.limit(1).count():
-            break
-        parts.append(layer.withColumn("depth", F.lit(depth)))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy(F.col("n").alias(key)).agg(F.max("depth").alias("depth"))
+    layers, cyclic = _layers(valid, scratch)
+    left = cyclic.count()
+    if left:
+        # From above, what no remaining edge points at is on no cycle.
+        before = None
+        while left != before:
+            cyclic = scratch.save(cyclic.join(cyclic.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "cyclic")
+            before, left = left, cyclic.count()
+        layers, _ = _layers(scratch.save(valid.join(cyclic.select("src").distinct(), "src", "left_anti").select("src", "dst"), "acyclic"), scratch)
+    parts = [nodes.select(F.col(key).alias("n"), F.lit(0).alias("depth")), *[layer.withColumn("depth", F.lit(k)) for k, layer in enumerate(layers, 1)]]
+    return reduce(DataFrame.unionByName, parts).groupBy(F.col("n").alias(key)).agg(F.max("depth").alias("depth"))
 
 
 def pattern(avg_depth: Column, max_depth: Column, avg_degree: Column, max_degree: Column) -> Column:

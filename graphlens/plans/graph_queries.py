@@ -254,7 +254,7 @@ def embodiment(s, d):
 def height(s, d):
     e = g.workspace_edges(s, d).filter("verb = 'implements'")
     n = e.select(F.col("src").alias("key")).union(e.select("dst")).distinct()
-    return structure.longest_depths(n, e, rounds=12)
+    return structure.longest_depths(n, e)
 
 
 def topology(s, d):

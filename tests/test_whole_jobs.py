@@ -36,3 +36,11 @@ def test_gravity_scores_every_node_that_implements(spark, tmp_path, rows):
         own, far = sum(weights.get(v, 0) for a, _, v in edges if a == n), len(ball(back, n, 2))
         want.append((n, own, far, 2 * far + own))
     assert rows(q.gravity(spark, d)) == want and len(want) == 60
+
+
+def test_heights_have_no_bound_and_cycles_have_none(spark, tmp_path, rows):
+    links = [(f"c{k:02d}", f"c{k - 1:02d}") for k in range(1, 16)]
+    links += [("p", "q"), ("q", "p"), ("q", "c05"), ("above", "p"), ("top", "above"), ("top", "c03"), ("p", "between"), ("between", "s"), ("s", "s")]
+    d = workspace_tables(spark, tmp_path, [(*e, "implements") for e in links])
+    want = {f"c{k:02d}": k for k in range(16)} | {"p": 0, "q": 0, "between": 0, "s": 0, "above": 1, "top": 4}
+    assert dict(rows(q.height(spark, d))) == want
