@@ -125,7 +125,7 @@ def blast_d2(s, d):
 
 def _ws_blast(s, d):
     n, e = _ws(s, d)
-    return n, traverse.reached(traverse.both_ways(e), hubs(e.join(n.filter("type <> 'ExternalSystem'").select(F.col("id").alias("dst")), "dst", "left_semi")), 2)
+    return n, traverse.reached(traverse.both_ways(e), hubs(e), 2)
 
 
 def blast_tiers(s, d):

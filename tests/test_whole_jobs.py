@@ -44,3 +44,13 @@ def test_heights_have_no_bound_and_cycles_have_none(spark, tmp_path, rows):
     d = workspace_tables(spark, tmp_path, [(*e, "implements") for e in links])
     want = {f"c{k:02d}": k for k in range(16)} | {"p": 0, "q": 0, "between": 0, "s": 0, "above": 1, "top": 4}
     assert dict(rows(q.height(spark, d))) == want
+
+
+def test_blasts_start_from_external_systems_too(spark, tmp_path):
+    edges = [(f"n{k:02d}", "hub", "calls") for k in range(15)] + [(f"n{k:02d}", f"m{k // 2}", "calls") for k in range(15)]
+    d = workspace_tables(spark, tmp_path, edges, ["hub"])
+    pairs = [e[:2] for e in edges] + [e[1::-1] for e in edges]
+    want = ball(pairs, "hub", 2)
+    got = {r.tier: r.n_nodes for r in q.blast_tiers(spark, d).filter("seed = 'hub'").collect()}
+    assert got == {k: sum(x == k for x in want.values()) for k in (1, 2)}
+    assert q.blast_risk(spark, d).filter("seed = 'hub'").first().risk == "high"
