@@ -15,7 +15,6 @@ from graphlens.streaming import changes
 
 QUESTION = "which registry and ledger triggers does the snapshot-cache handler use?"
 TERM, FUZZY, TASK, TAG = "registry", "module-src-api-batch_snapshot", "merge the ledger snapshot in src/api handlers", "layer:core"
-N_SEEDS = 10
 
 
 def _all(s: SparkSession, d: str):
@@ -26,13 +25,19 @@ def _ws(s: SparkSession, d: str):
     return g.workspace_nodes(s, d), g.workspace_edges(s, d)
 
 
-def hubs(edges: DataFrame, n: int = N_SEEDS) -> DataFrame:
-    """The ends to which most edges point: the seeds of the traversal reports."""
+def hubs(edges: DataFrame, n: int) -> DataFrame:
+    """The ends to which most edges point."""
     return edges.groupBy("dst").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "dst").limit(n).select(F.col("dst").alias("seed"))
 
 
-def sources(edges: DataFrame, n: int = N_SEEDS) -> DataFrame:
-    return edges.groupBy("src").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "src").limit(n).select(F.col("src").alias("seed"))
+def ends(edges: DataFrame) -> DataFrame:
+    """Both ends of all edges: the seeds of the traversal reports. No other node reaches anything."""
+    return edges.select(F.col("src").alias("seed")).union(edges.select("dst")).distinct()
+
+
+def every(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All nodes and all ends of edges: the seeds of reports on what a ball holds, its centre included."""
+    return ends(edges).union(nodes.select("key")).distinct()
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -110,22 +115,22 @@ def usages(s, d):
 
 def dependencies_d2(s, d):
     f = g.slice_edges(s, d)
-    return traverse.reached(f, sources(f), 2)
+    return traverse.reached(f, ends(f), 2)
 
 
 def dependents_d2(s, d):
     f = g.slice_edges(s, d)
-    return traverse.reached(reverse(f), hubs(f), 2)
+    return traverse.reached(reverse(f), ends(f), 2)
 
 
 def blast_d2(s, d):
     f = g.slice_edges(s, d)
-    return traverse.reached(traverse.both_ways(f), hubs(f), 2)
+    return traverse.reached(traverse.both_ways(f), ends(f), 2)
 
 
 def _ws_blast(s, d):
     n, e = _ws(s, d)
-    return n, traverse.reached(traverse.both_ways(e), hubs(e), 2)
+    return n, traverse.reached(traverse.both_ways(e), ends(e), 2)
 
 
 def blast_tiers(s, d):
@@ -140,41 +145,41 @@ def blast_risk(s, d):
 
 def closure_forward(s, d):
     e = g.workspace_edges(s, d).filter("verb in ('implements', 'deploys_to', 'has_contract')")
-    return traverse.reached(e, sources(e), None).filter("node <> seed").select("seed", "node")
+    return traverse.reached(e, ends(e), None).filter("node <> seed").select("seed", "node")
 
 
 def closure_reverse(s, d):
     e = g.workspace_edges(s, d).filter("verb in ('implements', 'deploys_to', 'has_contract')")
-    return traverse.reached(reverse(e), hubs(e), None).filter("node <> seed").select("seed", "node")
+    return traverse.reached(reverse(e), ends(e), None).filter("node <> seed").select("seed", "node")
 
 
 def walk_exact(s, d):
     f = g.slice_edges(s, d)
-    return traverse.walk(f, sources(f))
+    return traverse.walk(f, ends(f))
 
 
 def relevant_files(s, d):
-    f = g.slice_edges(s, d)
+    n, f, _ = _all(s, d)
     files = table(s, d, "slices").select(slice_key(F.col("slice_domain"), F.col("slice_type"), F.col("slice_id")).alias("key"), F.explode("source_files").alias("f"))
-    return context.relevant_files(files.select("key", norm_id("f").alias("file")), traverse.bfs(f, sources(f), 1))
+    return context.relevant_files(files.select("key", norm_id("f").alias("file")), traverse.bfs(f, every(n, f), 1))
 
 
 def shared_context(s, d):
-    """Nodes that the balls of the two largest sources share, for each pair of seeds of a report."""
+    """How many nodes the balls of each two nodes share; pairs that share none have no row."""
     f = g.slice_edges(s, d)
-    ball = traverse.bfs(traverse.both_ways(f), hubs(f, 4), 2).select("seed", "node").distinct()
+    ball = traverse.bfs(traverse.both_ways(f), ends(f), 2).select("seed", "node").distinct()
     other = ball.select(F.col("seed").alias("other"), "node")
     return ball.join(other, "node").filter("seed < other").groupBy("seed", "other").agg(F.count("*").alias("n_shared"))
 
 
 def context_domains(s, d):
     n, f, _ = _all(s, d)
-    return context.by_domain(n, traverse.bfs(traverse.both_ways(f), hubs(f), 2))
+    return context.by_domain(n, traverse.bfs(traverse.both_ways(f), every(n, f), 2))
 
 
 def obligations(s, d):
     n, f, _ = _all(s, d)
-    hit = context.impact(n, f, hubs(f), 2)
+    hit = context.impact(n, f, ends(f), 2)
     declared = n.select(F.col("key").alias("node"), F.explode("tags").alias("obligation")).filter("obligation like 'storage:%'")
     return context.obligations(hit, declared)
 
@@ -359,7 +364,7 @@ def record_gaps(s, d):
 def consequence_surface(s, d):
     n, e = _ws(s, d)
     rels = e.select("src", "dst", F.col("verb").alias("rel_type")).unionByName(e.filter("verb = 'implements'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("implemented_by").alias("rel_type")))
-    return architecture.consequences(rels, sources(e), 3)
+    return architecture.consequences(rels, ends(e), 3)
 
 
 def dependency_charts(s, d):
@@ -381,9 +386,9 @@ def call_edges(s, d):
 
 
 def context_bundles(s, d):
-    f = g.slice_edges(s, d)
+    n, f, _ = _all(s, d)
     files = table(s, d, "slices").select(slice_key(F.col("slice_domain"), F.col("slice_type"), F.col("slice_id")).alias("node"), norm_id(F.try_element_at("source_files", F.lit(1))).alias("source_uri")).dropna()
-    return bundles.bundle(f, sources(f, 5), files.distinct(), depth=1)
+    return bundles.bundle(f, every(n, f), files.distinct(), depth=1)
 
 
 QUERIES = {

@@ -54,3 +54,27 @@ def test_blasts_start_from_external_systems_too(spark, tmp_path):
     got = {r.tier: r.n_nodes for r in q.blast_tiers(spark, d).filter("seed = 'hub'").collect()}
     assert got == {k: sum(x == k for x in want.values()) for k in (1, 2)}
     assert q.blast_risk(spark, d).filter("seed = 'hub'").first().risk == "high"
+
+
+def test_every_node_is_a_seed(spark, tmp_path, rows):
+    links = [(f"n{k:02d}", f"n{k // 3:02d}") for k in range(1, 30)] + [("n02", "n20"), ("n29", "gone")]
+    d, ids = workspace_tables(spark, tmp_path, [(*e, "implements") for e in links]), [f"n{k:02d}" for k in range(31)]
+    key, refs = "graph/function/{}".format, {n: [("graph", "function", b) for a, b in links if a == n] for n in ids}
+    slices = [("graph", "function", n, "r", [f"{n}.py"], [], refs[n], []) for n in ids]
+    ref = "array<struct<slice_domain string, slice_type string, slice_id string>>"
+    schema = f"slice_domain string, slice_type string, slice_id string, repo string, source_files array<string>, tags array<string>, forward_refs {ref}, backward_refs {ref}"
+    spark.createDataFrame(slices, schema).write.parquet(f"{d}/slices.parquet")
+    nodes, back = sorted({*ids, "gone"}), [e[::-1] for e in links]
+
+    def balls(pairs, depth, name):
+        return {(name(s), name(n), x) for s in nodes for n, x in ball(pairs, s, depth).items()}
+
+    assert set(rows(q.dependencies_d2(spark, d))) == balls(links, 2, key)
+    assert set(rows(q.dependents_d2(spark, d))) == balls(back, 2, key)
+    assert set(rows(q.blast_d2(spark, d))) == balls(links + back, 2, key)
+    assert set(rows(q.closure_forward(spark, d))) == {(s, n) for s, n, _ in balls(links, None, str)}
+    near = {s: {s, *ball(links, s, 1)} - {"gone"} for s in nodes}
+    assert set(rows(q.relevant_files(spark, d))) == {(key(s), f"{n}.py") for s in nodes for n in near[s]}
+    both = {s: {s, *ball(links + back, s, 2)} for s in nodes}
+    assert set(rows(q.shared_context(spark, d))) == {(key(a), key(b), len(both[a] & both[b])) for a in nodes for b in nodes if a < b and both[a] & both[b]}
+    assert {r.seed for r in q.context_bundles(spark, d).select("seed").distinct().collect()} == {key(n) for n in nodes}
