@@ -1,0 +1,13 @@
+import pytest
+
+from graphlens.llm import syntax
+
+
+@pytest.mark.parametrize("text", ["def f(a=1, b): pass\n", "def f(*a, *b): pass\n", "f(a=1, b)\n", "f() = 1\n", "1 = x\n", "x := 1\n", "a == not b\n", "del f()\n", "for f() in x: pass\n", "f'{a b}'\n"])
+def test_python_that_the_grammar_lets_pass(text):
+    assert not syntax.is_valid("python", text)
+
+
+@pytest.mark.parametrize("text", ["\ufeffx = 1\n", "def f(a, b=1, *c, d, **e): pass\n", "f(*a, b=1)\n", "(x := 1)\n", "not a == b\n", "f'{a!r:>{b}}'\n", "del a[0], b.c\n"])
+def test_valid_python_stays_valid(text):
+    assert syntax.is_valid("python", text)
