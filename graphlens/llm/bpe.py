@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import codecs
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import pyarrow as pa
@@ -26,29 +26,30 @@ _CUT_LOOKAHEAD = 2
 _RUNS = [regex.compile(p) for p in (r" ?\p{L}+", r" ?\p{N}+", r"\s+", r" ?[^\s\p{L}\p{N}]+")]
 _MORE = [regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*")]
 
-#: Characters read at a time, the least length in bytes of a piece that is merged as a stream, entries of the cache.
-CHUNK, LONG, CACHED = 1 << 16, 256, 1 << 18
+#: Characters read at a time, bytes of a piece taken at a time, entries of the caches.
+CHUNK, BLOCK, CACHED = 1 << 16, 2048, 1 << 18
 
 
 class Vocabulary(dict):
     """Pieces of text → ids, computed when first asked for; ranks and merges of a vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], lookahead: int | None = None):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self._fits: dict[tuple[int, int], bool] = {}
+        if lookahead is not None:
+            self.lookahead = lookahead
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= CACHED:
             self.clear()
         data = piece.encode()
-        ids = tuple(self.merge(data) if len(data) < LONG else self.merge_long([data]))
-        self[piece] = ids
+        self[piece] = ids = tuple(self.transduce((data[i : i + BLOCK] for i in range(0, len(data), BLOCK))))
         return ids
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of a short piece: of all neighbours that form a token the one of least rank merges first."""
+        """What two tokens side by side become, by the definition: of all neighbours that form a token the one of least rank merges first."""
         ranks = self.ranks
         if data in ranks:
             return [ranks[data]]
@@ -69,16 +70,17 @@ class Vocabulary(dict):
             known = self._fits[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
-    def merge_long(self, blocks: Iterable[bytes]) -> Iterator[int]:
+    def transduce(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece of any length that comes in blocks, given out once no further byte can change them.
 
         The encoding of every prefix ends in exactly one token that fits the encoding before it, so
         each position points back to the one where its last token begins. A later token begins at
         one of the last ``longest`` positions; up to where the ways back from all of these meet,
-        tokens are final. Memory: ``lookahead`` bytes at most, for text a few tokens.
+        tokens are final. They are so too where they end ``lookahead`` bytes before what is read, on whatever
+        way: so at most that many bytes, one token and one block are held.
         """
         ranks, longest = self.ranks, self.longest
-        data, last, done = b"", [-1], 0  # last[i]: token that ends at i of the bytes kept
+        data, last = b"", [-1]  # last[i]: token that ends at i of the bytes kept
         first = True
         before = -1  # the token given out last
         for block in blocks:
@@ -95,12 +97,12 @@ class Vocabulary(dict):
                             break
                 last.append(found)
             heads = {i for i in range(max(0, n - longest), n + 1) if i == 0 or last[i] >= 0}
-            while len(heads) > 1:
+            settled = n - self.lookahead if n > longest else 0
+            while len(heads) > 1 and max(heads) > settled:
                 top = max(heads)
                 heads.remove(top)
                 heads.add(top - len(self.bytes_of[last[top]]))
-            done = heads.pop() if heads else 0
-            if done:
+            if done := max(heads, default=0):
                 out = self._back(last, done)
                 yield from out
                 before, first = out[-1], False
@@ -129,9 +131,9 @@ class Vocabulary(dict):
                     out.append((parts[0], parts[1], token))
         return out
 
-    @property
+    @cached_property
     def lookahead(self) -> int:
-        """Bytes after which no further byte can change a token: sufficient for every text.
+        """Bytes after which no further byte can change a token: sufficient for every text. Computed once, in the driver.
 
         Text on the right undoes a merge only by an earlier merge that takes the merge's right part
         (or its beginning) away, which in turn a still earlier one may have undone. The longest such
@@ -162,15 +164,14 @@ class Encoder:
         v, self.held = self.v, ""
         for chunk in source:
             self.held += chunk
-            at = 0
-            for m in _CUT.finditer(self.held):
-                if m.end() + _CUT_LOOKAHEAD > len(self.held):
-                    break
-                yield from v[m[0]]
-                at = m.end()
-            self.held = self.held[at:]
+            # Pieces whose end nothing that follows can move; the last one always waits.
+            pieces, end = _CUT.findall(self.held), len(self.held)
+            while pieces and end + _CUT_LOOKAHEAD > len(self.held):
+                end -= len(pieces.pop())
+            yield from chain.from_iterable(map(v.__getitem__, pieces))
+            self.held = self.held[end:]
             if len(self.held) >= CHUNK:  # one piece, and no end of it in sight
-                yield from v.merge_long(self._piece(source))
+                yield from v.transduce(self._piece(source))
         yield from chain.from_iterable(map(v.__getitem__, _CUT.findall(self.held)))
         self.held = ""
 
@@ -181,7 +182,7 @@ class Encoder:
         while end == len(self.held):
             # The last white space before other text belongs to what follows, so one is kept back.
             cut = end - 1
-            yield from (self.held[i : min(i + 2048, cut)].encode() for i in range(0, cut, 2048))
+            yield from (self.held[i : min(i + BLOCK, cut)].encode() for i in range(0, cut, BLOCK))
             self.held = self.held[cut:]
             chunk = next(source, None)
             if chunk is None:
@@ -197,10 +198,7 @@ class Encoder:
 
     def ids(self, text: str | None) -> list[int]:
         """Ids of a whole text; none for null and for empty text."""
-        if not text:
-            return []
-        if len(text) <= CHUNK:
-            return list(chain.from_iterable(map(self.v.__getitem__, _CUT.findall(text))))
+        text = text or ""
         return list(self.encode(text[i : i + CHUNK] for i in range(0, len(text), CHUNK)))
 
 
@@ -213,25 +211,41 @@ def decode(ids: Iterable[int], vocabulary: Vocabulary) -> Iterator[str]:
     yield machine.decode(b"", final=True)
 
 
+def parse(data: bytes, lookahead: int | None = None) -> Vocabulary:
+    """The vocabulary of a file of ranks."""
+    return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, lookahead)
+
+
 @cache
 def load(path: str = VOCABULARY) -> Vocabulary:
-    """The vocabulary in a file of ranks, once for each process."""
+    """The vocabulary in a file of the driver, once for each process."""
     with open(path, "rb") as f:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return parse(f.read())
+
+
+#: The vocabularies of a Python worker by the id of the broadcast that brought them.
+_SENT: dict[int, Vocabulary] = {}
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """key and ``ids`` (array<int>) of each text, without special tokens.
 
-    Strings that name special tokens are ordinary text. Whole texts are encoded, in chunks, in the tasks
-    that scan them (spread out first if these are fewer than the cores). Defined results: the empty list for null and for empty texts; repeated rows
-    repeat; no rows give no rows; other columns are not read.
+    Strings that name special tokens are ordinary text. Every text goes through the transducer in chunks, in the tasks
+    that scan them (spread out first if these are fewer than the cores). The file at ``path`` is read in the driver;
+    its bytes, a megabyte for each 50,000 tokens, and the lookahead computed from it are broadcast. Defined results:
+    the empty list for null and for empty texts; repeated rows repeat; no rows give no rows; other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
+    with open(path, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast((f.read(), load(path).lookahead))
+    number = sent._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(path))
+        if number not in _SENT:
+            _SENT.clear()
+            _SENT[number] = parse(*sent.value)
+        encoder = Encoder(_SENT[number])
         for batch in batches:
             lists = [encoder.ids(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=[key, "ids"])
