@@ -15,65 +15,82 @@ file_match: stmt_m* ;
 stmt: compound | simple_line ;
 stmt_m: compound | match | simple_line ;
 simple_line: simple (';' simple)* ';'? NEWLINE ;
-simple: assignment | 'return' star_list? | 'raise' (test ('from' test)?)? | 'pass' | 'break' | 'continue'
-  | 'del' star_list | 'assert' test (',' test)? | 'global' id (',' id)* | 'nonlocal' id (',' id)*
+simple: (star_targets '=')+ value | single_target (AUG value | ':' test ('=' value)?) | star_list | yield
+  | 'return' star_list? | 'raise' (test ('from' test)?)? | 'pass' | 'break' | 'continue'
+  | 'del' del_targets | 'assert' test (',' test)? | 'global' id (',' id)* | 'nonlocal' id (',' id)*
   | 'import' dotted_as (',' dotted_as)* | from_import | 'type' id type_params? '=' test ;
-assignment: star_list (':' test ('=' value)? | AUG value | ('=' value)+)? | yield ('=' value)* ;
 value: yield | star_list ;
 yield: 'yield' ('from' test | star_list)? ;
+star_targets: star_target (',' star_target)* ','? ;
+star_target: '*'? target ;
+target: id | member | '(' star_targets? ')' | '[' star_targets? ']' ;
+single_target: id | member | '(' single_target ')' ;
+del_targets: del_target (',' del_target)* ','? ;
+del_target: id | member | '(' del_targets? ')' | '[' del_targets? ']' ;
+member: atom trailer* ('.' id | '[' subscripts ']') ;
 dotted: id ('.' id)* ;
 dotted_as: dotted ('as' id)? ;
-from_import: 'from' ('.' | '...')* dotted? 'import' ('*' | '(' as_name (',' as_name)* ','? ')' | as_name (',' as_name)*) ;
+from_import: 'from' (('.' | '...')+ dotted? | dotted) 'import' ('*' | '(' as_name (',' as_name)* ','? ')' | as_name (',' as_name)*) ;
 as_name: id ('as' id)? ;
 id: NAME | 'match' | 'case' | 'type' | '_' ;
 compound: if | 'while' named ':' block else? | for | try | with | def | class | decorated | 'async' (def | for | with) ;
 if: 'if' named ':' block ('elif' named ':' block)* else? ;
 else: 'else' ':' block ;
-for: 'for' targets 'in' star_list ':' block else? ;
-try: 'try' ':' block (except+ else? ('finally' ':' block)? | 'finally' ':' block) ;
-except: 'except' ('*'? test (',' test)* ('as' id)?)? ':' block ;
+for: 'for' star_targets 'in' star_list ':' block else? ;
+try: 'try' ':' block ((except+ | except_group+) else? ('finally' ':' block)? | 'finally' ':' block) ;
+except: 'except' (test ('as' id)?)? ':' block ;
+except_group: 'except' '*' test ('as' id)? ':' block ;
 with: 'with' (item (',' item)* | '(' item (',' item)* ','? ')') ':' block ;
-item: test ('as' target)? ;
-def: 'def' id type_params? '(' params? ')' ('->' test)? ':' block ;
+item: test ('as' star_target)? ;
+def: 'def' id type_params? '(' (params ','?)? ')' ('->' test)? ':' block ;
 class: 'class' id type_params? ('(' args? ')')? ':' block ;
 decorated: ('@' named NEWLINE)+ ('async'? def | class) ;
 type_params: '[' type_param (',' type_param)* ','? ']' ;
-type_param: ('*' | '**')? id (':' test)? ('=' star_test)? ;
-params: param (',' param)* ','? ;
-param: id (':' test)? ('=' test)? | '*' (id (':' star_test)?)? | '**' id (':' test)? | '/' ;
-lambda_params: lambda_param (',' lambda_param)* ','? ;
-lambda_param: id ('=' test)? | '*' id? | '**' id | '/' ;
+type_param: id (':' test)? ('=' test)? | '*' id ('=' star_item)? | '**' id ('=' test)? ;
+params: plain (',' star_params)? | star_params ;
+plain: param (',' param)* (',' '/' (',' param)*)? (',' default)* | (param ',')* default (',' default)* (',' '/' (',' default)*)? ;
+star_params: '*' id (':' star_item)? (',' any_param)* (',' '**' param)? | '*' (',' any_param)+ (',' '**' param)? | '**' param ;
+param: id (':' test)? ;
+default: id (':' test)? '=' test ;
+any_param: id (':' test)? ('=' test)? ;
+lambda_params: lambda_plain (',' lambda_stars)? | lambda_stars ;
+lambda_plain: id (',' id)* (',' '/' (',' id)*)? (',' id '=' test)* | (id ',')* id '=' test (',' id '=' test)* (',' '/' (',' id '=' test)*)? ;
+lambda_stars: '*' id (',' id ('=' test)?)* (',' '**' id)? | '*' (',' id ('=' test)?)+ (',' '**' id)? | '**' id ;
 block: NEWLINE INDENT stmt_m+ DEDENT | simple_line ;
-match: 'match' star_list ':' NEWLINE INDENT case+ DEDENT ;
-case: 'case' patterns ('if' named)? ':' block ;
-patterns: pattern (',' pattern)* ','? ;
-pattern: '*' id | closed ('|' closed)* ('as' id)? ;
-closed: STRING+ | '-'? NUMBER (('+' | '-') NUMBER)? | 'None' | 'True' | 'False' | dotted ('(' pattern_args? ')')?
-  | '(' patterns? ')' | '[' patterns? ']' | '{' (pattern_item (',' pattern_item)* ','?)? '}' ;
-pattern_args: pattern_arg (',' pattern_arg)* ','? ;
-pattern_arg: (id '=')? pattern ;
-pattern_item: '**' id | closed ':' pattern ;
-star_list: star_test (',' star_test)* ','? ;
-star_test: '*' bin | named ;
-named: test (':=' test)? ;
-test: bin ('if' bin 'else' test)? | 'lambda' lambda_params? ':' test ;
-bin: unary (binop unary)* ;
-binop: 'or' | 'and' | 'not' 'in' | 'in' | 'is' 'not'? | CMP | '*' | '**' | '@' | '/' | '-' | '+' | '|' | OP ;
-unary: ('not' | '-' | '+' | '~' | 'await')* primary ;
+match: 'match' (named | star_named ',' (star_named (',' star_named)* ','?)?) ':' NEWLINE INDENT case+ DEDENT ;
+case: 'case' (pattern | open_sequence) ('if' named)? ':' block ;
+open_sequence: star_pattern ',' (star_pattern (',' star_pattern)* ','?)? ;
+star_pattern: '*' id | pattern ;
+pattern: closed ('|' closed)* ('as' id)? ;
+literal: strings | '-'? NUMBER (('+' | '-') NUMBER)? | 'None' | 'True' | 'False' ;
+closed: literal | id | id ('.' id)+ | dotted '(' (pattern_args ','?)? ')' | '(' (pattern | open_sequence)? ')' | '[' (star_pattern (',' star_pattern)* ','?)? ']'
+  | '{' (pattern_item (',' pattern_item)* (',' '**' id)? ','? | '**' id ','?)? '}' ;
+pattern_args: pattern (',' pattern)* (',' id '=' pattern)* | id '=' pattern (',' id '=' pattern)* ;
+pattern_item: (literal | id ('.' id)+) ':' pattern ;
+star_list: star_item (',' star_item)* ','? ;
+star_item: '*' bits | test ;
+star_named: '*' bits | named ;
+named: test | id ':=' test ;
+test: bin ('if' bin 'else' test)? | 'lambda' lambda_params? ','? ':' test ;
+bin: 'not'* comparison (('or' | 'and') 'not'* comparison)* ;
+comparison: bits (('not' 'in' | 'in' | 'is' 'not'? | CMP) bits)* ;
+bits: unary (('*' | '**' | '@' | '/' | '-' | '+' | '|' | OP) unary)* ;
+unary: ('-' | '+' | '~')* 'await'? primary ;
 primary: atom trailer* ;
-trailer: '.' id | '(' args? ')' | '[' subscript (',' subscript)* ','? ']' ;
-subscript: named | '*' bin | test? ':' test? (':' test?)? ;
-args: arg (',' arg)* ','? ;
-arg: ('*' | '**') test | id '=' test | named comp* ;
-comp: 'async'? 'for' targets 'in' bin_or_lambda ('if' test_nocond)* ;
-bin_or_lambda: bin | 'lambda' lambda_params? ':' test ;
-test_nocond: bin (':=' bin)? | 'lambda' lambda_params? ':' test ;
-targets: target (',' target)* ','? ;
-target: '*'? unary_target ;
-unary_target: atom trailer* ;
-atom: id | NUMBER | STRING+ | '...' | 'None' | 'True' | 'False' | '(' (yield | star_test (comp+ | (',' star_test)* ','?))? ')'
-  | '[' (star_test (comp+ | (',' star_test)* ','?))? ']' | '{' ((entry (comp+ | (',' entry)* ','?)) | (star_test (comp+ | (',' star_test)* ','?)))? '}' ;
-entry: '**' bin | test ':' test ;
+trailer: '.' id | '(' (args | named comp+)? ')' | '[' subscripts ']' ;
+subscripts: subscript (',' subscript)* ','? ;
+subscript: named | '*' bits | test? ':' test? (':' test?)? ;
+args: positional (',' positional)* (',' keywords)? ','? | keywords ','? ;
+positional: '*' test | named ;
+keywords: keyword (',' keyword)* (',' '**' test (',' late)*)? | '**' test (',' late)* ;
+keyword: id '=' test | '*' test ;
+late: id '=' test | '**' test ;
+comp: 'async'? 'for' star_targets 'in' bin ('if' bin)* ;
+atom: id | NUMBER | strings | '...' | 'None' | 'True' | 'False' | '(' (yield | named comp* | star_named ',' (star_named (',' star_named)* ','?)?)? ')'
+  | '[' (named comp+ | star_named (',' star_named)* ','?)? ']' | '{' (entry (',' entry)* ','? | test ':' test comp+ | named comp+ | star_named (',' star_named)* ','?)? '}' ;
+entry: '**' bits | test ':' test ;
+strings: (STRING | FBEGIN field* FEND)+ | BYTES+ ;
+field: FOPEN (yield | star_list) FDEBUG? FCONV? (FSPEC field*)? FCLOSE ;
 """
 
 JSON = """

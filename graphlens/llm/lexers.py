@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from graphlens.llm import grammars as g
 
@@ -16,25 +17,105 @@ _SQ3 = _DQ3.replace('"', "'")
 
 _PY = re.compile(
     rf"""(?P<ws>[ \t\f]+|\\(?:\r\n|\n|\r))|(?P<comment>\#[^\r\n]*)|(?P<nl>\r\n|\n|\r)
-    |(?P<string>(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?(?:{_DQ3}|{_SQ3}|{_DQ}|{_SQ}))
-    |(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+
-      |(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*)(?![\w]))
-    |(?P<name>[^\W\d]\w*)
+    |(?P<fbegin>(?:[rR][fF]|[fF][rR]?)(?:\"{{3}}|'{{3}}|\"|'))
+    |(?P<string>(?:[rR][bB]?|[bB][rR]?|[uU])?(?:{_DQ3}|{_SQ3}|(?!"{{3}})(?:{_DQ})|(?!'{{3}})(?:{_SQ})))
+    |(?P<number>(?>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+
+      |(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*)(?:(?!\w)|(?=and|else|for|i[fns]|not|or)))
+    |(?P<name>[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*+)
     |(?P<aug>(?:\*\*|//|>>|<<|[-+*/%&|^@])=(?!=))|(?P<cmp>==|!=|<=|>=|<(?!<)|>(?!>))
     |(?P<lit>\.\.\.|->|:=|\*\*|[-+*/@~|=,:;.()\[\]{{}}](?<!//))|(?P<op><<|>>|[%&^])""",
     re.X | re.S,
 )
 _PY_FLOOR = re.compile(r"//(?!=)")
 _PY_KEYS = frozenset(g.PYTHON_WORDS + g.PYTHON_SOFT)
+#: A field's end or beginning, the string's end, an escape, or a line's end in the literal part of an f-string.
+_PY_F = re.compile(r"""\{\{?|\}\}?|\"{3}|'{3}|\"|'|\\N\{[^}\n]*\}|\\(?:\r\n|[^{}])|\\(?=[{}])|\r\n|\n|\r""", re.S)
+_PY_CONVERSION = re.compile(r"![ \t\f]*([A-Za-z_]\w*)[ \t\f]*(?=[:}])")
+_PY_DEBUG = re.compile(r"=(?!=)\s*(?=[!:}])")
+_PY_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{(?P<name>[^}]*)\}|(?P<bad>[xuUN])|.)", re.S)
+
+
+def _py_escapes(body: str, named: bool) -> bool:
+    """Whether all escapes of a string's text are complete; ``named``: \\u, \\U and \\N are escapes too."""
+    for m in _PY_ESCAPE.finditer(body):
+        if m["bad"] and (named or m["bad"] == "x"):
+            return False
+        if m["name"] is not None and named:
+            try:
+                unicodedata.lookup(m["name"])
+            except KeyError:
+                return False
+    return True
+
+
+def _py_literal(text: str, at: int, quote: str, raw: bool, spec: bool) -> tuple[str, int, int]:
+    """The literal part of an f-string from ``at`` on: what ends it (FOPEN, FCLOSE, FEND, ERROR), where it ends, and where what follows begins."""
+    start = at
+    while m := _PY_F.search(text, at):
+        found, at = m[0], m.end()
+        if found in ("{{", "}}"):
+            if not spec:
+                continue
+            found, at = found[0], at - 1
+        if found[0] in "\r\n":
+            if len(quote) == 3:
+                continue
+            return ERROR, at, at
+        if found[0] == "\\":
+            if raw and found[1:2] == "N":
+                at = m.start() + 2
+            continue
+        if found[0] in "\"'":
+            if found != quote and not (len(quote) == 1 and found[0] == quote):
+                at = m.start() + (len(found) if found[0] != quote[0] else 1)
+                continue
+            kind, after = "FEND", m.start() + len(quote)
+            if spec:
+                kind = ERROR
+        else:
+            kind, after = ("FOPEN" if found == "{" else "FCLOSE"), at
+            if kind == "FCLOSE" and not spec:
+                kind = ERROR
+        if not raw and "\\" in text[start : m.start()] and not _py_escapes(text[start : m.start()], True):
+            kind = ERROR
+        return kind, m.start(), after
+    return ERROR, at, at
 
 
 def python(text: str, places: list[tuple[int, int]] | None = None) -> Tokens:
-    """``places``: gets where each token begins and ends."""
+    """``places``: gets where each token begins and ends.
+
+    The fields of f-strings are tokens like all others, between FBEGIN and FEND; so strings in them may use any quote.
+    """
     out: list[str] = []
     depth, indents, at, fresh_line, n = 0, [(0, 0)], 0, True, len(text)
+    if "\0" in text:
+        return [ERROR], None
     if text[:1] == "\ufeff":
         at = 1
+    # Open f-strings: [quote, raw, in a format, depths at which fields were opened].
+    open_f: list[list] = []
     while at < n:
+        if open_f and open_f[-1][2]:
+            f = open_f[-1]
+            kind, _, after = _py_literal(text, at, f[0], f[1], f[2] == 2)
+            if kind == ERROR:
+                return [ERROR], None
+            out.append(kind)
+            if kind == "FOPEN":
+                depth += 1
+                f[3].append((depth, f[2]))
+                f[2] = 0
+            elif kind == "FEND":
+                open_f.pop()
+                depth -= 1
+            else:
+                depth, f[2] = f[3][-1][0] - 1, f[3][-1][1]
+                f[3].pop()
+            if places is not None:
+                places.append((at, after))
+            at = after
+            continue
         if fresh_line and not depth:
             start = at
             while at < n and text[at] in " \t\f":
@@ -56,6 +137,23 @@ def python(text: str, places: list[tuple[int, int]] | None = None) -> Tokens:
             fresh_line = False
             if at >= n:
                 break
+        if open_f and open_f[-1][3] and open_f[-1][3][-1][0] == depth:
+            # Directly in a field: what ends its expression.
+            f, c = open_f[-1], text[at]
+            m = (c == "=" and _PY_DEBUG.match(text, at)) or (c == "!" and text[at + 1 : at + 2] != "=" and _PY_CONVERSION.match(text, at)) or None
+            if c == "!" and m and m[1] not in ("s", "r", "a"):
+                return [ERROR], None
+            if m or c in ":}":
+                out.append("FDEBUG" if c == "=" else "FCONV" if c == "!" else "FSPEC" if c == ":" else "FCLOSE")
+                end = m.end() if m else at + 1
+                if c == ":":
+                    f[2] = 2
+                elif c == "}":
+                    depth, f[2] = depth - 1, f[3].pop()[1]
+                if places is not None:
+                    places.append((at, end))
+                at = end
+                continue
         if text[at] == "/" and (m := _PY_FLOOR.match(text, at)):
             out.append("OP")
             kind, at = "floor", m.end()
@@ -73,6 +171,8 @@ def python(text: str, places: list[tuple[int, int]] | None = None) -> Tokens:
                     out.append("NEWLINE")
                 fresh_line = True
         elif kind == "name":
+            if not m[0].isascii() and not unicodedata.normalize("NFKC", m[0]).isidentifier():
+                return [ERROR], None
             out.append(m[0] if m[0] in _PY_KEYS else "NAME")
         elif kind == "lit":
             if m[0] in "([{":
@@ -82,10 +182,23 @@ def python(text: str, places: list[tuple[int, int]] | None = None) -> Tokens:
                 if depth < 0:
                     return [ERROR], None
             out.append(m[0])
+        elif kind == "fbegin":
+            quote = m[0].lstrip("rRfF")
+            open_f.append([quote, len(m[0]) - len(quote) > 1, 1, []])
+            depth += 1
+            out.append("FBEGIN")
+        elif kind == "string":
+            s = m[0]
+            prefix = s[: min(s.index(q) for q in "\"'" if q in s)].lower()
+            if "b" in prefix and not s.isascii() or "\\" in s and "r" not in prefix and not _py_escapes(s, "b" not in prefix):
+                return [ERROR], None
+            out.append("BYTES" if "b" in prefix else "STRING")
         elif kind not in ("comment", "floor"):
             out.append(kind.upper())
         if places is not None:
             places += [m.span()] * (len(out) - len(places))
+    if open_f:
+        return [ERROR], None
     if out and out[-1] not in ("NEWLINE", "INDENT", "DEDENT"):
         out.append("NEWLINE")
     out += ["DEDENT"] * (len(indents) - 1)

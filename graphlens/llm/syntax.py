@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,27 +23,9 @@ def dialects(language: str, text: str) -> set[str]:
     return grammar(language).accepted(names, fresh)
 
 
-def _parses(text: str) -> bool | None:
-    """Whether Python parses the text; null where it can't tell, as nesting or characters are beyond it."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text.removeprefix("\ufeff"))
-        except SyntaxError:
-            return False
-        except (ValueError, RecursionError, MemoryError):
-            return None
-    return True
-
-
 def is_valid(language: str, text: str) -> bool:
-    """Whether a dialect accepts the text. A Python file is checked once more by Python itself, which decides where it can tell.
-
-    The grammar is looser than Python on the order of parameters and arguments, on targets and within f-strings.
-    """
-    accepted = bool(dialects(language, text))
-    exact = _parses(text) if language == "python" else None
-    return accepted if exact is None else exact
+    """Whether a dialect of the language accepts the text."""
+    return bool(dialects(language, text))
 
 
 def language_of(path) -> F.Column:
