@@ -12,10 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.operators.skew import salted_join
 from graphlens.session import Scratch, spread
 
 #: Words of a shared run, and of a fingerprinted gram. The window of winnowing follows from both.
 RUN, GRAM = 12, 8
+#: Most fingerprints of items that are broadcast, about 40 bytes each, and most bytes of item texts.
+BROADCAST_PRINTS, BROADCAST_TEXT = 500_000, 32 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -78,20 +81,23 @@ def _print_rows(run: int, gram: int):
 def _extended(run: int):
     """Keeps pairs whose hits extend to a shared run; rows of a document come together."""
 
-    def shared(a: list[str], b: list[str], hits) -> bool:
-        done: dict[int, int] = {}  # diagonal: position up to which it is extended
-        for i, j in sorted(hits):
-            if done.get(i - j, -1) >= i:
-                continue
-            x, y = i, j
-            while x > 0 and y > 0 and a[x - 1] == b[y - 1]:
-                x, y = x - 1, y - 1
-            p, q = i, j
-            while p < len(a) and q < len(b) and a[p] == b[q]:
-                p, q = p + 1, q + 1
-            if p - x >= run:
-                return True
-            done[i - j] = max(p, i)
+    def shared(a: list[str], b: list[str], spans) -> bool:
+        """Walks each diagonal from its first hit, and what comes before it, to beyond its last one."""
+        for span in spans:
+            d, i, last = span["diagonal"], span["first"], span["last"]
+            while i > 0 and i > d and a[i - 1] == b[i - 1 - d] and last - i < run:
+                i -= 1
+            length = 0
+            while i < len(a) and i - d < len(b):
+                if a[i] == b[i - d]:
+                    length += 1
+                    if length >= run:
+                        return True
+                elif i > last:
+                    break
+                else:
+                    length = 0
+                i += 1
         return False
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,14 +105,14 @@ def _extended(run: int):
         items: dict[int, list[str]] = {}
         for pdf in batches:
             keep = []
-            for doc, item, text, item_text, hits in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item_text"], pdf["hits"]):
-                if doc != last:
-                    last, own = doc, words(text)
-                if item not in items:
+            for doc, item, text, item_text, spans in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item_text"], pdf["spans"]):
+                if last != (doc, text):
+                    last, own = (doc, text), words(text)
+                if (item, item_text) not in items:
                     if len(items) > 4096:
                         items.clear()
-                    items[item] = words(item_text)
-                keep.append(shared(own, items[item], [(h["at"], h["item_at"]) for h in hits]))
+                    items[item, item_text] = words(item_text)
+                keep.append(shared(own, items[item, item_text], spans))
             yield pdf.loc[keep, ["doc_id", "item_id"]]
 
     return rows
@@ -120,18 +126,28 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM) -
     Defined results: null, empty and short texts share nothing; repeated rows and passages count once;
     several texts under one id are texts of their own; empty tables give no rows; whole texts are read.
 
-    The corpus gives one fingerprint for about each third word; those join with the items' by hash,
-    which spreads them evenly. The items' prints are written first, so that their size is known when Spark
-    chooses the join: they are broadcast below its threshold, else both sides are shuffled. Texts are
-    fetched only for pairs that hit. The hits of a pair are bounded by the length of its document.
+    The corpus gives one fingerprint for about each third word; those join with the items' by hash. The
+    items' prints are written and counted first: up to ``BROADCAST_PRINTS`` are broadcast. Beyond that the corpus's
+    prints are written too, and a print of very many documents is split by document. Hits shrink to the first
+    and the last on each diagonal before they are gathered, so a pair gathers at most two for each word of both
+    texts, however often these repeat. Texts are fetched only for pairs that hit, an item of very many documents
+    or a document of very many items in shares.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     docs = docs.select("doc_id", "text")
     items = scratch.save(items.select("item_id", "item_text").filter("item_text is not null").distinct(), "items")
     schema = "id long, fp long, at int"
     test = scratch.save(items.mapInPandas(_print_rows(run, gram), schema).select(F.col("id").alias("item_id"), "fp", F.col("at").alias("item_at")).distinct(), "prints")
-    corpus = spread(docs.filter("text is not null")).mapInPandas(_print_rows(run, gram), schema)
-    hits = corpus.join(test, "fp").select(F.col("id").alias("doc_id"), "item_id", "at", "item_at")
-    pairs = scratch.save(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("hits")), "pairs")
-    full = pairs.join(docs, "doc_id").join(items, "item_id").sortWithinPartitions("doc_id")
-    return full.select("doc_id", "item_id", "text", "item_text", "hits").mapInPandas(_extended(run), "doc_id long, item_id long").distinct()
+    corpus = spread(docs.filter("text is not null")).mapInPandas(_print_rows(run, gram), schema).withColumnRenamed("id", "doc_id")
+    if test.count() <= BROADCAST_PRINTS:
+        hits = corpus.join(F.broadcast(test), "fp")
+    else:
+        hits = salted_join(scratch.save(corpus, "corpus"), test, "fp", "inner", "doc_id")
+    diagonals = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    pairs = scratch.save(diagonals.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("diagonal", "first", "last")).alias("spans")), "pairs")
+    if (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) <= BROADCAST_TEXT:
+        full = pairs.join(F.broadcast(items), "item_id")
+    else:
+        full = salted_join(pairs, items, "item_id", "inner", "doc_id")
+    full = salted_join(full, docs.filter("text is not null"), "doc_id", "inner", "item_id").sortWithinPartitions("doc_id")
+    return full.select("doc_id", "item_id", "text", "item_text", "spans").mapInPandas(_extended(run), "doc_id long, item_id long").distinct()

@@ -56,3 +56,30 @@ def test_exactly_twelve_words_and_repeats(spark):
 
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "x " * 20)]) == set() and found(spark, [(1, "x " * 20)], []) == set()
+
+
+def test_shuffled_plan_gives_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(30))) for k in range(12)]
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(20)) + " " + items[k % 12][1][10:40]) for k in range(60)]
+    one = found(spark, docs, items)
+    monkeypatch.setattr(leaks, "BROADCAST_PRINTS", 0)
+    monkeypatch.setattr(leaks, "BROADCAST_TEXT", 0)
+    monkeypatch.setattr("graphlens.operators.skew.HOT_FLOOR", 5)
+    assert one == found(spark, docs, items) == brute(docs, items, 12)
+
+
+def test_texts_of_one_repeated_word_and_an_item_in_many_documents(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = [(k, f"d{k} {passage} e{k}") for k in range(10_000)] + [(20_000, "same " * 10_000), (20_001, ("same " * 11 + "other ") * 500)]
+    items = [(1, passage), (2, "same " * 100), (3, "same " * 5_000), (4, "same " * 11 + "end")]
+    got = found(spark, docs, items)
+    assert got == {(k, 1) for k in range(10_000)} | {(20_000, 2), (20_000, 3)}
+
+
+def test_run_between_shorter_ones_on_one_diagonal(spark):
+    """The first and the last hit of a diagonal belong to runs that are too short; the one between them is long enough."""
+    w = [f"w{k}" for k in range(80)]
+    doc = [x if k not in (10, 11, 25, 39, 40) else f"x{k}" for k, x in enumerate(w[:60])]
+    docs, items = [(1, " ".join(doc)), (2, " ".join(x if k % 12 else "y" for k, x in enumerate(w)))], [(1, " ".join(w[:60])), (2, " ".join(w))]
+    assert found(spark, docs, items) == brute(docs, items, 12) and (1, 1) in brute(docs, items, 12)
