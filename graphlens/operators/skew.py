@@ -11,17 +11,17 @@ from graphlens.session import shuffle_partitions
 HOT_FLOOR = 20_000
 
 
-def hot_keys(df: DataFrame, key: str, floor: int = HOT_FLOOR) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, floor: int | None = None) -> DataFrame:
     """Keys with more than a quarter of a mean partition's rows of ``df``.
 
     More than total / (4 · partitions) rows each means at most 4 · partitions such keys: that bound
     does not depend on the data, so the result may be broadcast.
     """
-    limit = max(floor, df.count() // (4 * shuffle_partitions(df.sparkSession)))
+    limit = max(HOT_FLOOR if floor is None else floor, df.count() // (4 * shuffle_partitions(df.sparkSession)))
     return df.groupBy(key).count().filter(F.col("count") > limit).select(F.col(key).alias("hot_key"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: str, condition=None, salts: int = 16, floor: int = HOT_FLOOR) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: str, condition=None, salts: int = 16, floor: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` on the column ``key`` of both, hot keys of ``left`` split.
 
     ``how``: inner, left, left_semi or left_anti. Rows of ``left`` with a hot key are dealt by the

@@ -58,7 +58,7 @@ def test_random_logs_with_a_hot_key(spark, seed):
         content = used.setdefault((key, hour), (rng.choice("xyz"), rng.choice(["1", "2", None])))
         data.append((key, H(hour), *content, H(rng.randrange(200))))
     runs = [(k, H(20 * k)) for k in range(1, 9)]
-    assert replayed(spark, data, runs, leaf_bits=6) == brute(data, runs)
+    assert replayed(spark, data, runs, bits=8) == brute(data, runs)
 
 
 def test_empty_inputs(spark):
@@ -67,7 +67,7 @@ def test_empty_inputs(spark):
 
 def test_store_runs_once_and_survives_an_aborted_run(spark, monkeypatch):
     root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    store = incremental.MerkleStore(spark, root, leaf_bits=6)
+    store = incremental.MerkleStore(spark, root, bits=8)
     got = []
     for run, at in RUN_ROWS:
         seen = log_of(spark, CASES).filter(F.col("arrived") <= F.lit(at)).select("key", "version")
@@ -83,9 +83,45 @@ def test_store_runs_once_and_survives_an_aborted_run(spark, monkeypatch):
     assert sorted(got) == brute(CASES, RUN_ROWS)
 
 
+def test_store_reads_and_writes_only_leaves_that_differ(spark, monkeypatch):
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = incremental.MerkleStore(spark, root, bits=8, split_keys=1)
+    data = [(f"k{k}", H(1), "x", "1", H(1)) for k in range(2000)]
+    assert store.process(log_of(spark, data).select("key", "version"), 1).count() == 2000
+    read = []
+    state = incremental.MerkleStore.state
+
+    def noted(self, *a):
+        df = state(self, *a)
+        read.append((df.inputFiles(), df.count()))
+        return df
+
+    monkeypatch.setattr(incremental.MerkleStore, "state", noted)
+    changed = log_of(spark, [*data, ("k7", H(2), "y", "1", H(2))]).select("key", "version")
+    assert [r.key for r in store.process(changed, 2).collect()] == ["k7"]
+    files = {f.rsplit("/", 2)[1] for f in read[0][0] if "/changed/" in f}
+    rewritten = spark.read.parquet(f"{root}/run-{2:012d}/changed").count()
+    assert len(files) == 1 and 1 <= rewritten < 40 and 0 < read[0][1] < 40
+    # The descent decides what is read: with every leaf below a differing node taken for differing more of the state is.
+    monkeypatch.setattr(incremental, "descend", lambda new, old, depth, branches: new.filter((F.col("level") == depth) & F.shiftright("node", 4).isin(branches)).select("node"))
+    again = log_of(spark, [*data, ("k7", H(3), "z", "1", H(3))]).select("key", "version")
+    assert [r.key for r in store.process(again, 3).collect()] == ["k7"] and spark.read.parquet(f"{root}/run-{3:012d}/changed").count() > rewritten
+    assert read[1][1] > read[0][1]
+
+
+def test_trees_grow_with_the_keys_and_forget_what_is_gone(spark):
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = incremental.MerkleStore(spark, root)
+    state = lambda ks, h: log_of(spark, [(f"k{k}", H(h), f"v{h}", "1", H(1)) for k in ks]).select("key", "version")
+    assert store.process(state(range(10), 1), 1).count() == 10
+    assert store.process(state(range(3000), 1), 2).count() == 2990
+    assert store.process(state(range(5, 3000), 1), 3).count() == 0
+    assert sorted(r.key for r in store.process(state(range(3000), 1), 4).collect()) == [f"k{k}" for k in range(5)]
+    assert store.process(state(range(3000), 1), 5).count() == 0 and store.process(state([], 1), 6).count() == 0
+
+
 def test_descent_visits_only_differing_nodes(spark):
-    leaves = spark.createDataFrame([(n, 7, 7 if n != 37 else 8) for n in range(64)], "node int, old long, new long")
-    levels = [leaves]
-    for _ in range(2):
-        levels.insert(0, incremental.coarser(levels[0], []))
-    assert [r.node for r in incremental.descend(levels, []).collect()] == [37]
+    tree = lambda odd: incremental.tree_of(log_of(spark, [(f"k{k}", H(1 + (k == odd)), "x", "1", H(1)) for k in range(500)]).select("key", "version"), 8)
+    leaf = spark.range(1).select(incremental.key_range(F.lit("k37"), 8)).first()[0]
+    assert [r.node for r in incremental.descend(tree(37), tree(None), 2, [leaf >> 4]).collect()] == [leaf]
+    assert incremental.descend(tree(37), tree(37), 2, list(range(16))).count() == 0 and incremental.descend(tree(37), tree(None), 2, []).count() == 0
