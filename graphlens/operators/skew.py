@@ -37,3 +37,20 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: s
     r = r.withColumn("_rsalt", F.explode(F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot_key")
     on = (l[key] == r[rkey]) & (l["_salt"] == r["_rsalt"])
     return l.join(r, on if condition is None else on & condition(l, r), how).drop("_salt", "_rsalt")
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", floor: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, whose values of ``key`` are unique, hot keys of ``left`` apart. ``how``: inner or left.
+
+    The rows of ``right`` for hot keys are at most 4 · partitions, whatever the data, so those are broadcast to where
+    the rows of ``left`` are; null keys are not shuffled either. ``left`` is read more than once: a saved table.
+    """
+    floor = HOT_FLOOR if floor is None else floor
+    if left.count() <= floor:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot_keys(left, key, floor).filter("hot_key is not null"))
+    is_hot = lambda df: F.col(key) == F.col("hot_key")
+    cold = left.filter(F.col(key).isNotNull()).join(hot, is_hot(left), "left_anti").join(right, key, how)
+    few = F.broadcast(right.join(hot, is_hot(right), "left_semi"))
+    out = cold.unionByName(left.join(hot, is_hot(left), "left_semi").join(few, key, how))
+    return out if how == "inner" else out.unionByName(left.filter(F.col(key).isNull()).join(F.broadcast(right.limit(0)), key, how))

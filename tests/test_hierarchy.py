@@ -44,7 +44,18 @@ def test_random_forests_match_brute_force(spark, seed):
     links = [(f"n{rng.randrange(k)}", f"n{k}") for k in range(1, 120) if rng.random() < 0.95]
     links += [(f"c{k}", f"c{(k + 1) % 7}") for k in range(7)] + [("c3", f"u{k}") for k in range(5)] + [(f"u{k}", f"v{k}") for k in range(5)]
     links += [(f"deep{k}", f"deep{k + 1}") for k in range(40)] + [("star", f"s{k}") for k in range(150)]
-    assert result(spark, links, chunk=16, peel_rounds=2) == brute(links)
+    assert result(spark, links, chunk=16) == brute(links)
+    assert result(spark, links, chunk=16, peel_rounds=2, small=40) == brute(links)
+
+
+def test_one_parent_of_a_hundred_thousand_children(spark, monkeypatch):
+    """The hot parent is looked up apart, and what is left for one task is small."""
+    monkeypatch.setattr("graphlens.operators.skew.HOT_FLOOR", 1000)
+    links = spark.range(100_000).selectExpr("'hub' as parent", "concat('n', id) as child").union(spark.sql("select 'top' as parent, 'hub' as child union all select 'x', 'y' union all select 'y', 'x'"))
+    out = hierarchy.hierarchies(links, small=150_000)
+    got = {(r.state, r.depth): r["count"] for r in out.groupBy("state", "depth").count().collect()}
+    assert got == {("ok", 0): 1, ("ok", 1): 1, ("ok", 2): 100_000, ("cycle", -1): 2}
+    assert out.filter("node_path = concat('top > hub > ', node_id)").count() == 100_000
 
 
 def test_no_links(spark):
