@@ -14,13 +14,17 @@ from graphlens.session import Scratch, delete, exists, listing, read_text, renam
 #: Bits by which a level of the tree is finer than the one above.
 LEVEL_BITS = 4
 #: Keys of a leaf, and keys from which on the state of a run lies in a folder for each node below the root.
-LEAF_KEYS, SPLIT_KEYS = 8, 1 << 22
+LEAF_KEYS, SPLIT_KEYS = 4, 1 << 22
 
 
 def leaf_bits(keys: int) -> int:
-    """Bits of the key's hash that name a leaf, in whole levels, for about ``LEAF_KEYS`` keys in each."""
-    bits = max(1, (max(keys, 1) // LEAF_KEYS).bit_length())
-    return min(48, -(-bits // LEVEL_BITS) * LEVEL_BITS)
+    """Bits of the key's hash that name a leaf, for about ``LEAF_KEYS`` keys in each."""
+    return min(48, max(LEVEL_BITS, (max(keys, 1) // LEAF_KEYS).bit_length()))
+
+
+def depth_of(bits: int) -> int:
+    """Level of the leaves; the root has level 0. The last level may be less than ``LEVEL_BITS`` finer."""
+    return -(-bits // LEVEL_BITS)
 
 
 def key_range(key: Column, bits: int) -> Column:
@@ -57,25 +61,26 @@ def tree_of(state: DataFrame, bits: int) -> DataFrame:
     leaves', so that all levels come from one pass over the leaves. Everything is aggregated before it is shuffled.
     """
     leaves = state.groupBy(key_range(F.col("key"), bits).alias("leaf")).agg(F.bit_xor(version_hash("key", "version")).alias("x"), F.count("*").alias("n"))
-    level = F.explode(F.sequence(F.lit(0), F.lit(bits // LEVEL_BITS)))
+    level = F.explode(F.sequence(F.lit(0), F.lit(depth_of(bits))))
     nodes = leaves.select(level.alias("level"), "leaf", F.xxhash64("leaf", "x").alias("digest"), "n")
-    node = F.expr(f"shiftright(leaf, {bits} - level * {LEVEL_BITS})")
+    node = F.expr(f"shiftright(leaf, greatest(0, {bits} - level * {LEVEL_BITS}))")
     return nodes.groupBy("level", node.alias("node")).agg(F.bit_xor("digest").alias("digest"), F.sum("n").alias("n"))
 
 
-def descend(new: DataFrame, old: DataFrame, depth: int, branches: list[int]) -> DataFrame:
+def descend(new: DataFrame, old: DataFrame, bits: int, branches: list[int]) -> DataFrame:
     """The leaves (node) that differ between two trees, reached through differing nodes only.
 
     branches: the nodes below the root that differ, at most ``2 ** LEVEL_BITS``; below other nodes nothing is looked at.
     """
     both = new.select("level", "node", "digest").unionByName(old.select("level", "node", "digest"))
-    differing = None
+    differing, depth = None, depth_of(bits)
+    finer = lambda k: min(bits, k * LEVEL_BITS)
     for k in range(min(2, depth), depth + 1):
         # A node of one tree only differs too: then its digest stands alone.
-        at = both.filter((F.col("level") == k) & F.shiftright("node", (k - 1) * LEVEL_BITS).isin(branches))
+        at = both.filter((F.col("level") == k) & F.shiftright("node", finer(k) - finer(1)).isin(branches))
         at = at.groupBy("node").agg(F.bit_xor("digest").alias("digest"), F.count("*").alias("n")).filter("digest <> 0 or n = 1").select("node")
         if differing is not None:
-            at = at.withColumn("up", F.shiftright("node", LEVEL_BITS)).join(differing.select(F.col("node").alias("up")), "up", "left_semi").select("node")
+            at = at.withColumn("up", F.shiftright("node", finer(k) - finer(k - 1))).join(differing.select(F.col("node").alias("up")), "up", "left_semi").select("node")
         differing = at
     return differing
 
@@ -159,7 +164,7 @@ class MerkleStore:
     def state(self, prior: str, branches: list[int] | None = None, leaves: DataFrame | None = None) -> DataFrame:
         """leaf, key, version as run ``prior`` left them; of some nodes below the root and some leaves, if these are given."""
         note = json.loads(read_text(self.spark, f"{prior}/note.json"))
-        tree = self.spark.read.parquet(f"{prior}/tree").filter(F.col("level") == note["bits"] // LEVEL_BITS)
+        tree = self.spark.read.parquet(f"{prior}/tree").filter(F.col("level") == depth_of(note["bits"]))
         at = tree.select(F.col("node").alias("leaf"), F.col("written").alias("run"))
         if leaves is not None:
             at = at.join(leaves.select(F.col("node").alias("leaf")), "leaf", "left_semi")
@@ -169,8 +174,9 @@ class MerkleStore:
     def _run(self, current: DataFrame, run_no: int, generation: str) -> None:
         prior = self.last(generation)
         note = json.loads(read_text(self.spark, f"{prior}/note.json")) if prior else {"bits": 0, "keys": current.select("key").distinct().count(), "upper": [], "split": False}
-        bits = self.bits or max(leaf_bits(note["keys"]), note["bits"])
-        depth, split = bits // LEVEL_BITS, note["keys"] >= self.split_keys
+        bits = leaf_bits(note["keys"])
+        bits = self.bits or (bits if bits >= note["bits"] + LEVEL_BITS else note["bits"] or bits)
+        depth, split = depth_of(bits), note["keys"] >= self.split_keys
         top = F.shiftright("leaf", bits - LEVEL_BITS).cast("int") if split else F.lit(0)
         kept = prior is not None and note["bits"] == bits and note["split"] == split
         state = current.groupBy("key").agg(F.max("version").alias("version"))
@@ -188,11 +194,11 @@ class MerkleStore:
         upper = sorted((r.node, r.digest) for r in seen if r.level == 1)
         branches = sorted({node for node, _ in set(upper) ^ {tuple(x) for x in note["upper"]}})
         keys = sum(r.n for r in seen if r.level == 0)
-        leaves = descend(tree, saved, depth, branches) if kept else tree.filter(F.col("level") == depth).select("node")
+        leaves = descend(tree, saved, bits, branches) if kept else tree.filter(F.col("level") == depth).select("node")
         stale = self.state(prior, branches, leaves) if kept else old_state
         leaf = key_range(F.col("key"), bits)
-        fresh = current.withColumn("leaf", leaf).join(leaves.select(F.col("node").alias("leaf")), "leaf", "left_semi") if kept else current.withColumn("leaf", leaf)
-        fresh = fresh.groupBy("key").agg(F.max("version").alias("version"), F.first("leaf").alias("leaf"))
+        fresh = state.withColumn("leaf", leaf)
+        fresh = fresh.join(leaves.select(F.col("node").alias("leaf")), "leaf", "left_semi") if kept else fresh
         changed = fresh.join(stale.select("key", F.col("version").alias("old")), "key", "left")
         changed = changed.select("leaf", "key", "version", is_case("old", "version").alias("is_case"), F.lit(run_no).alias("run"))
         g.write("changed", changed.withColumn("branch", top), "branch")

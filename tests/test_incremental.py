@@ -103,7 +103,7 @@ def test_store_reads_and_writes_only_leaves_that_differ(spark, monkeypatch):
     rewritten = spark.read.parquet(f"{root}/run-{2:012d}/changed").count()
     assert len(files) == 1 and 1 <= rewritten < 40 and 0 < read[0][1] < 40
     # The descent decides what is read: with every leaf below a differing node taken for differing more of the state is.
-    monkeypatch.setattr(incremental, "descend", lambda new, old, depth, branches: new.filter((F.col("level") == depth) & F.shiftright("node", 4).isin(branches)).select("node"))
+    monkeypatch.setattr(incremental, "descend", lambda new, old, bits, branches: new.filter((F.col("level") == 2) & F.shiftright("node", 4).isin(branches)).select("node"))
     again = log_of(spark, [*data, ("k7", H(3), "z", "1", H(3))]).select("key", "version")
     assert [r.key for r in store.process(again, 3).collect()] == ["k7"] and spark.read.parquet(f"{root}/run-{3:012d}/changed").count() > rewritten
     assert read[1][1] > read[0][1]
@@ -121,7 +121,9 @@ def test_trees_grow_with_the_keys_and_forget_what_is_gone(spark):
 
 
 def test_descent_visits_only_differing_nodes(spark):
+    uneven = lambda odd: incremental.tree_of(log_of(spark, [(f"k{k}", H(1 + (k == odd)), "x", "1", H(1)) for k in range(99)]).select("key", "version"), 5)
+    assert [r.node for r in incremental.descend(uneven(37), uneven(None), 5, list(range(16))).collect()] == [spark.range(1).select(incremental.key_range(F.lit("k37"), 5)).first()[0]]
     tree = lambda odd: incremental.tree_of(log_of(spark, [(f"k{k}", H(1 + (k == odd)), "x", "1", H(1)) for k in range(500)]).select("key", "version"), 8)
     leaf = spark.range(1).select(incremental.key_range(F.lit("k37"), 8)).first()[0]
-    assert [r.node for r in incremental.descend(tree(37), tree(None), 2, [leaf >> 4]).collect()] == [leaf]
-    assert incremental.descend(tree(37), tree(37), 2, list(range(16))).count() == 0 and incremental.descend(tree(37), tree(None), 2, []).count() == 0
+    assert [r.node for r in incremental.descend(tree(37), tree(None), 8, [leaf >> 4]).collect()] == [leaf]
+    assert incremental.descend(tree(37), tree(37), 8, list(range(16))).count() == 0 and incremental.descend(tree(37), tree(None), 8, []).count() == 0
