@@ -56,6 +56,14 @@ def _hubs(table: str, end: str, n: int, where: str = "true") -> str:
     return f"(SELECT {end} AS seed FROM {table} WHERE {where} GROUP BY {end} ORDER BY count(*) DESC, {end} LIMIT {n})"
 
 
+def _ends(table: str) -> str:
+    """Every end of an edge as a seed."""
+    return f"(SELECT src AS seed FROM {table} UNION SELECT dst FROM {table})"
+
+
+_EVERY = "(SELECT src AS seed FROM sf UNION SELECT dst FROM sf UNION SELECT key FROM sn)"
+
+
 def _ball(links: str, seeds: str, depth: int | None) -> str:
     """Common tables: ball (seed, node, depth) by recursion; needs WITH RECURSIVE before."""
     if depth is None:
@@ -67,9 +75,14 @@ def _ball(links: str, seeds: str, depth: int | None) -> str:
 _REV = "rev AS (SELECT dst AS src, src AS dst FROM sf)"
 _BOTH = "both_ AS (SELECT src, dst FROM sf UNION SELECT dst, src FROM sf)"
 _WBOTH = "both_ AS (SELECT src, dst FROM we UNION SELECT dst, src FROM we)"
-_WSEEDS = _hubs("we", "dst", 10, "dst IN (SELECT id FROM wn WHERE type <> 'ExternalSystem')")
+# Heights over the implements edges: nodes on a cycle, or on a way between two, are taken out with their edges and have 0.
+_HEIGHTS = """e AS (SELECT DISTINCT src, dst FROM we WHERE verb = 'implements'), n AS (SELECT src AS key FROM e UNION SELECT dst FROM e),
+      way AS (SELECT src, dst FROM e UNION SELECT way.src, e.dst FROM way JOIN e ON way.dst = e.src), cyc AS (SELECT src AS key FROM way WHERE src = dst),
+      core AS (SELECT key FROM cyc UNION (SELECT way.dst FROM way JOIN cyc ON way.src = cyc.key INTERSECT SELECT way.src FROM way JOIN cyc ON way.dst = cyc.key)),
+      a AS (SELECT * FROM e WHERE src NOT IN (SELECT key FROM core)), up AS (SELECT key, 0 AS depth FROM n UNION SELECT a.src, up.depth + 1 FROM up JOIN a ON a.dst = up.key),
+      h AS (SELECT key, max(depth)::INTEGER AS depth FROM up GROUP BY key)"""
 _CL = "cl AS (SELECT DISTINCT src, dst FROM we WHERE verb IN ('implements', 'deploys_to', 'has_contract')), clr AS (SELECT dst AS src, src AS dst FROM cl), clv AS (SELECT * FROM we WHERE verb IN ('implements', 'deploys_to', 'has_contract'))"
-_WB = f"WITH RECURSIVE {_WN}, {_WE}, {_WBOTH}, {_ball('both_', _WSEEDS, 2)}, hit AS (SELECT b.*, n.repo, n.id FROM ball b LEFT JOIN wn n ON b.node = n.id WHERE depth > 0)"
+_WB = f"WITH RECURSIVE {_WN}, {_WE}, {_WBOTH}, {_ball('both_', _ends('we'), 2)}, hit AS (SELECT b.*, n.repo, n.id FROM ball b LEFT JOIN wn n ON b.node = n.id WHERE depth > 0)"
 
 
 def _admit(level: int) -> str:
@@ -120,7 +133,7 @@ ORACLE = {
     "record_relationships": f"WITH {_RECORDS} SELECT rel_type, src, dst, 'explicit' AS origin FROM decl UNION ALL SELECT 'enabled_by', dst, src, 'derived' FROM decl WHERE rel_type = 'enables'",
     "record_governance": f"WITH {_RECORDS} SELECT src AS decision_id, 0::BIGINT AS n_governs, count(*) AS n_enables, 0::BIGINT AS n_enforces FROM decl WHERE rel_type = 'enables' GROUP BY src",
     "record_gaps": f"WITH {_RECORDS} SELECT DISTINCT rel_type, src AS source_id, dst AS missing_id FROM decl WHERE starts_with(dst, 'CAP-')",
-    "consequence_surface": f"""WITH {_WE}, cr AS (SELECT src, dst, verb AS rel_type FROM we UNION SELECT dst, src, 'implemented_by' FROM we WHERE verb = 'implements'), s0 AS (SELECT seed, seed AS node FROM {_hubs('we', 'src', 10)}),
+    "consequence_surface": f"""WITH {_WE}, cr AS (SELECT src, dst, verb AS rel_type FROM we UNION SELECT dst, src, 'implemented_by' FROM we WHERE verb = 'implements'), s0 AS (SELECT seed, seed AS node FROM {_ends('we')}),
       s1 AS ({_STEP.format(front='s0', where='', seen='SELECT seed, node FROM s0')}), s2 AS ({_STEP.format(front='s1', where=_LATER, seen='SELECT seed, node FROM s0 UNION SELECT seed, node FROM s1')}),
       s3 AS ({_STEP.format(front='s2', where=_LATER, seen='SELECT seed, node FROM s0 UNION SELECT seed, node FROM s1 UNION SELECT seed, node FROM s2')}),
       a AS (SELECT *, 1 AS depth FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3) SELECT seed, node, depth, CASE WHEN hard THEN 'hard' ELSE 'soft' END AS tier, via FROM a""",
@@ -131,14 +144,13 @@ ORACLE = {
       SELECT DISTINCT file_id, unnest(list_filter(['layer:' || CASE WHEN contains(p, '/api/') THEN 'api' WHEN contains(p, 'lambda') THEN 'lambda' WHEN contains(p, '/services/') THEN 'service' WHEN contains(p, '/data/') THEN 'data' WHEN contains(p, '/frontend/') THEN 'frontend'
           WHEN contains(p, 'infra') THEN 'infrastructure' WHEN contains(p, '/jobs/') THEN 'recon' WHEN contains(p, 'scripts/') THEN 'scripts' WHEN contains(p, 'test') THEN 'test' ELSE 'util' END,
         CASE WHEN e <> '' THEN 'lang:' || CASE e WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'cs' THEN 'csharp' ELSE e END END, CASE WHEN regexp_matches(p, '(^|/)tests?/|[._-](test|spec)[._]') THEN 'test' END], lambda t: t IS NOT NULL)) AS tag FROM x""",
-    "topology": f"""WITH RECURSIVE {_WE}, e AS (SELECT DISTINCT src, dst FROM we WHERE verb = 'implements'), n AS (SELECT src AS key FROM e UNION SELECT dst FROM e),
-      up AS (SELECT key, 0 AS depth FROM n UNION SELECT e.src, up.depth + 1 FROM up JOIN e ON e.dst = up.key WHERE up.depth < 12), h AS (SELECT key, max(depth)::INTEGER AS depth FROM up GROUP BY key),
+    "topology": f"""WITH RECURSIVE {_WE}, {_HEIGHTS},
       j AS (SELECT h.*, coalesce(g.degree, 0) AS degree FROM h LEFT JOIN (SELECT src, count(*) AS degree FROM e GROUP BY src) g ON h.key = g.src),
       m AS (SELECT count(*) AS n_nodes, round(avg(depth), 6) AS avg_depth, max(depth) AS max_depth, quantile_disc(depth, 0.95) AS p95_depth, round(avg(degree), 6) AS avg_degree, max(degree) AS max_degree FROM j),
       p AS (SELECT *, CASE WHEN max_depth > 5 AND NOT max_degree > 20 AND avg_degree < 5 THEN 'component-tree' WHEN NOT max_depth > 5 AND max_degree > 20 AND avg_depth < 3 THEN 'microservices'
         WHEN avg_depth BETWEEN 2 AND 4 AND NOT max_degree > 20 THEN 'layered' WHEN avg_depth <= 2 AND avg_degree <= 3 THEN 'flat' ELSE 'mixed' END AS pattern FROM m)
       SELECT *, least(greatest(CASE WHEN pattern = 'component-tree' THEN 4 WHEN pattern IN ('layered', 'flat') THEN 2 ELSE 3 END, ceil(p95_depth * 0.6)), 5)::INTEGER AS recommended_depth FROM p""",
-    "context_bundles": f"""WITH RECURSIVE {_SF}, b2 AS (SELECT src, dst FROM sf UNION SELECT dst, src FROM sf), {_ball('b2', _hubs('sf', 'src', 5), 1)},
+    "context_bundles": f"""WITH RECURSIVE {_SN}, {_SF}, b2 AS (SELECT src, dst FROM sf UNION SELECT dst, src FROM sf), {_ball('b2', _EVERY, 1)},
       l AS (SELECT node, min(u) AS source_uri FROM (SELECT {_K} AS node, {nid('source_files[1]')} AS u FROM slices) WHERE u IS NOT NULL AND node IS NOT NULL GROUP BY node),
       r AS (SELECT b.*, source_uri, row_number() OVER (PARTITION BY seed ORDER BY depth, b.node) AS rank FROM ball b LEFT JOIN l ON b.node = l.node),
       s AS (SELECT *, sum((source_uri IS NOT NULL AND rank <= 50)::INT) OVER (PARTITION BY seed ORDER BY depth, node) AS source_rank FROM r),
@@ -171,19 +183,19 @@ ORACLE = {
       WHERE len(list_intersect(sn.tags, t.tags)) > 0 OR sn.domain = t.domain ORDER BY shared_tags DESC, sn.key LIMIT 20""",
     "find": f"WITH {_SF}, top AS ({_search([q.TERM], 5)}), u AS (SELECT dst, count(*) AS n FROM sf GROUP BY dst) SELECT top.key, score, coalesce(n, 0) AS n_dependents FROM top LEFT JOIN u ON u.dst = top.key",
     "usages": f"WITH {_SF} SELECT dst AS key, count(*) AS n_users FROM sf GROUP BY dst",
-    "dependencies_d2": f"WITH RECURSIVE {_SF}, {_ball('sf', _hubs('sf', 'src', 10), 2)} SELECT * FROM ball WHERE depth > 0",
-    "dependents_d2": f"WITH RECURSIVE {_SF}, {_REV}, {_ball('rev', _hubs('sf', 'dst', 10), 2)} SELECT * FROM ball WHERE depth > 0",
-    "blast_d2": f"WITH RECURSIVE {_SF}, {_BOTH}, {_ball('both_', _hubs('sf', 'dst', 10), 2)} SELECT * FROM ball WHERE depth > 0",
+    "dependencies_d2": f"WITH RECURSIVE {_SF}, {_ball('sf', _ends('sf'), 2)} SELECT * FROM ball WHERE depth > 0",
+    "dependents_d2": f"WITH RECURSIVE {_SF}, {_REV}, {_ball('rev', _ends('sf'), 2)} SELECT * FROM ball WHERE depth > 0",
+    "blast_d2": f"WITH RECURSIVE {_SF}, {_BOTH}, {_ball('both_', _ends('sf'), 2)} SELECT * FROM ball WHERE depth > 0",
     "blast_tiers": f"{_WB} SELECT seed, depth AS tier, count(repo) AS n_nodes, count(DISTINCT repo) AS n_repos, count(*) FILTER (repo IS NULL) AS n_dangling FROM hit GROUP BY ALL",
     "blast_risk": f"""{_WB}, m AS (SELECT seed, count(DISTINCT repo) AS n_repos, count(*) FILTER (depth >= 2) AS n_far, max(depth) AS max_tier FROM hit WHERE id IS NOT NULL GROUP BY seed)
       SELECT *, CASE WHEN n_repos >= 4 OR n_far >= 10 THEN 'critical' WHEN n_repos >= 3 OR n_far >= 5 THEN 'high' WHEN n_repos >= 2 OR n_far >= 2 THEN 'medium' ELSE 'low' END AS risk FROM m""",
-    "closure_forward": f"WITH RECURSIVE {_WE}, {_CL}, {_ball('cl', _hubs('clv', 'src', 10), None)} SELECT seed, node FROM ball WHERE node <> seed",
-    "closure_reverse": f"WITH RECURSIVE {_WE}, {_CL}, {_ball('clr', _hubs('clv', 'dst', 10), None)} SELECT seed, node FROM ball WHERE node <> seed",
-    "relevant_files": f"WITH RECURSIVE {_SF}, {_ball('sf', _hubs('sf', 'src', 10), 1)}, f AS (SELECT {_K} AS key, unnest(source_files) AS f FROM slices) SELECT DISTINCT seed, {nid('f')} AS file FROM ball JOIN f ON ball.node = f.key",
-    "shared_context": f"""WITH RECURSIVE {_SF}, {_BOTH}, {_ball('both_', _hubs('sf', 'dst', 4), 2)}
+    "closure_forward": f"WITH RECURSIVE {_WE}, {_CL}, {_ball('cl', _ends('clv'), None)} SELECT seed, node FROM ball WHERE node <> seed",
+    "closure_reverse": f"WITH RECURSIVE {_WE}, {_CL}, {_ball('clr', _ends('clv'), None)} SELECT seed, node FROM ball WHERE node <> seed",
+    "relevant_files": f"WITH RECURSIVE {_SN}, {_SF}, {_ball('sf', _EVERY, 1)}, f AS (SELECT {_K} AS key, unnest(source_files) AS f FROM slices) SELECT DISTINCT seed, {nid('f')} AS file FROM ball JOIN f ON ball.node = f.key",
+    "shared_context": f"""WITH RECURSIVE {_SF}, {_BOTH}, {_ball('both_', _ends('sf'), 2)}
       SELECT a.seed, b.seed AS other, count(*) AS n_shared FROM ball a JOIN ball b ON a.node = b.node AND a.seed < b.seed GROUP BY ALL""",
-    "context_domains": f"WITH RECURSIVE {_SN}, {_SF}, {_BOTH}, {_ball('both_', _hubs('sf', 'dst', 10), 2)} SELECT seed, domain, count(*) AS n_nodes FROM ball JOIN sn ON ball.node = sn.key GROUP BY ALL",
-    "obligations": f"""WITH RECURSIVE {_SN}, {_SF}, {_BOTH}, {_ball('both_', _hubs('sf', 'dst', 10), 2)}, hit AS (SELECT b.*, path, repo, tags FROM ball b JOIN sn ON b.node = sn.key WHERE depth > 0),
+    "context_domains": f"WITH RECURSIVE {_SN}, {_SF}, {_BOTH}, {_ball('both_', _EVERY, 2)} SELECT seed, domain, count(*) AS n_nodes FROM ball JOIN sn ON ball.node = sn.key GROUP BY ALL",
+    "obligations": f"""WITH RECURSIVE {_SN}, {_SF}, {_BOTH}, {_ball('both_', _ends('sf'), 2)}, hit AS (SELECT b.*, path, repo, tags FROM ball b JOIN sn ON b.node = sn.key WHERE depth > 0),
       m AS (SELECT seed, count(*) AS n_impacted, count(*) FILTER (regexp_matches(lower(path), '(^|/)tests?/|[._-](test|spec)[._]|test_')) AS n_tests, count(DISTINCT repo) AS n_repos,
         sum(len(list_filter(tags, lambda x: starts_with(x, 'storage:'))))::BIGINT AS n_declared FROM hit GROUP BY seed)
       SELECT *, CASE WHEN n_impacted > 20 THEN 'high' WHEN n_impacted > 5 THEN 'medium' ELSE 'low' END AS risk FROM m""",
@@ -200,7 +212,7 @@ ORACLE = {
       SELECT DISTINCT src, dst, verb FROM e JOIN wn a ON e.src = a.id JOIN wn b ON e.dst = b.id WHERE verb IS NOT NULL AND (a.repo <> b.repo OR confidence IS NULL OR confidence = 'high')""",
     "relationship_pivot": f"WITH {_WE} SELECT src, " + ", ".join(f"count(DISTINCT dst) FILTER (verb = '{v}') AS {v}" for v in ("calls", "contains", "implements", "invokes", "reads", "writes")) + " FROM we GROUP BY src",
     "gravity": f"""WITH RECURSIVE {_WE}, e AS (SELECT * FROM we WHERE verb IN ('implements', 'contains', 'has_contract', 'deploys_to')), er AS (SELECT DISTINCT dst AS src, src AS dst FROM e),
-      tops AS {_hubs('e', 'src', 50, "verb = 'implements'")}, {_ball('er', 'tops', 2)},
+      tops AS (SELECT DISTINCT src AS seed FROM e WHERE verb = 'implements'), {_ball('er', 'tops', 2)},
       w AS (SELECT src AS id, sum(CASE verb WHEN 'implements' THEN 3 WHEN 'deploys_to' THEN 1 ELSE 2 END)::BIGINT AS weighted FROM e WHERE src IN (SELECT seed FROM tops) GROUP BY src),
       f AS (SELECT seed AS id, count(*) AS n_dependents FROM ball WHERE depth > 0 GROUP BY seed)
       SELECT id, coalesce(weighted, 0) AS weighted, coalesce(n_dependents, 0) AS n_dependents, coalesce(n_dependents, 0) * 2 + coalesce(weighted, 0) AS gravity FROM w FULL JOIN f USING (id)""",
@@ -208,8 +220,7 @@ ORACLE = {
         FROM wn a JOIN wn b ON a.type = 'Queue' AND b.type = 'Topic' AND a.repo <> b.repo AND substring(a.name, 1, 10) = substring(b.name, 1, 10) AND length(a.name) >= 10 AND length(b.name) >= 10)
       SELECT src, dst, affinity::INTEGER AS affinity FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY affinity DESC, dst) AS n FROM p) WHERE n = 1""",
     "embodiment": f"""SELECT node_type, state, count(*) AS n_nodes FROM (SELECT {nid('node_id')} AS id, node_type, CASE WHEN count(source_path) = 0 THEN 'unlinked' WHEN count(source_hash) = 0 THEN 'partial' ELSE 'covered' END AS state FROM ws_nodes GROUP BY ALL) GROUP BY ALL""",
-    "height": f"""WITH RECURSIVE {_WE}, e AS (SELECT DISTINCT src, dst FROM we WHERE verb = 'implements'), n AS (SELECT src AS key FROM e UNION SELECT dst FROM e),
-      up AS (SELECT key, 0 AS depth FROM n UNION SELECT e.src, up.depth + 1 FROM up JOIN e ON e.dst = up.key WHERE up.depth < 12) SELECT key, max(depth)::INTEGER AS depth FROM up GROUP BY key""",
+    "height": f"WITH RECURSIVE {_WE}, {_HEIGHTS} SELECT * FROM h",
     "change_counts": f"SELECT repo, snapshot_no, change_kind, count(*) AS n_slices FROM ({P1}) GROUP BY ALL",
     "locator_freshness": f"""WITH {_SCAN}, l AS (SELECT DISTINCT entity_uri, repo, {nid('file_path')} AS path, source_hash AS known FROM source_locators)
       SELECT DISTINCT entity_uri, CASE WHEN s.path IS NULL THEN 'missing_source' WHEN known IS NULL OR source_hash IS NULL THEN 'unhashed' WHEN known = source_hash THEN 'fresh' ELSE 'hash_mismatch' END AS state
