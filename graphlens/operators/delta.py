@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.ids import norm_id
 
 #: The domains that slices may have.
-DOMAINS = ("graph", "api", "data", "infrastructure", "behavior", "frontend", "architecture")
+DOMAINS = tuple("project entrypoints api data graph config errors testing domain conventions observability infrastructure deployment frontend behavior".split())
 
 
 def latest_scan(files: DataFrame) -> DataFrame:

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Layer of a module by a part of its path, the first that is found.
-LAYERS = (("/api/", "api"), ("lambda", "lambda"), ("/services/", "service"), ("/data/", "data"), ("/frontend/", "frontend"), ("infra", "infrastructure"), ("/jobs/", "recon"), ("scripts/", "scripts"), ("test", "test"))
+#: Layers by parts of a path in lower case, the first that is found; else util.
+LAYERS = (
+    ("api", ("/api/", "/routes/", "/endpoints/")),
+    ("lambda", ("/lambda/", "/handlers/")),
+    ("service", ("/service/", "/services/", "/domain/")),
+    ("data", ("/data/", "/repository/", "/models/")),
+    ("frontend", ("/components/", "/frontend/", "/src/app/")),
+    ("infrastructure", ("/cloudformation/", "/infrastructure/")),
+    ("recon", ("/recon/", "/rss/")),
+    ("scripts", ("/scripts/",)),
+    ("test", ("/tests/", "/test/")),
+)
 
 
 def module_id(path: Column) -> Column:
@@ -15,9 +27,11 @@ def module_id(path: Column) -> Column:
 
 
 def layer(path: Column) -> Column:
+    """Layer of a module by its path."""
     low, out = F.lower(path), None
-    for part, name in LAYERS:
-        out = F.when(low.contains(part), name) if out is None else out.when(low.contains(part), name)
+    for name, parts in LAYERS:
+        hit = reduce(lambda x, y: x | y, [low.contains(part) for part in parts])
+        out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("util")
 
 

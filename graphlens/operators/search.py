@@ -27,13 +27,21 @@ def entry_terms(question: str) -> list[str]:
     return list(dict.fromkeys([*terms(question, ENTRY_STOP_WORDS), *joined]))
 
 
-def term_score(term: str) -> Column:
-    """Score of a node for one term: the first of the rules that holds."""
+def term_score(term: str, columns: list[str] | tuple[str, ...] = ()) -> Column:
+    """Score of a node for one term: the first of the rules that holds. ``columns`` may name description and docstring, if nodes have them."""
     t, low = term.lower(), F.lower
-    return (
-        F.when(low("id") == t, 100).when(low("id").contains(t), 80).when(low("name") == t, 75).when(low("name").contains(t), 72)
-        .when(low("path").contains(t), 60).when(low("key").contains(t), 40).when(F.exists("tags", lambda x: low(x).contains(t)), 35).otherwise(0)
-    )
+    score = F.when(low("id") == t, 100).when(low("id").contains(t), 80).when(low("name") == t, 75).when(low("name").contains(t), 72)
+    score = score.when(low("description").contains(t), 70) if "description" in columns else score
+    score = score.when(low("path").contains(t), 60)
+    score = score.when(low("docstring").contains(t), 50) if "docstring" in columns else score
+    return score.when(low("key").contains(t), 40).when(F.exists("tags", lambda x: low(x).contains(t)), 35).otherwise(0)
+
+
+def narrowed(nodes: DataFrame, domain: str | None = None, kind: str | None = None, repo: str | None = None) -> DataFrame:
+    """Nodes of a domain, a type and a repository, where these are given."""
+    for column, value in (("domain", domain), ("type", kind), ("repo", repo)):
+        nodes = nodes.filter(F.col(column) == value) if value is not None else nodes
+    return nodes
 
 
 def search_exact(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -41,7 +49,7 @@ def search_exact(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
     found = terms(query) if re.search(r"[\s?]", query) else [query]
     if not found:
         return nodes.select("key", F.lit(0).alias("score")).limit(0)
-    scores = [term_score(t) for t in found]
+    scores = [term_score(t, nodes.columns) for t in found]
     matched = sum((F.when(s > 0, 1).otherwise(0) for s in scores), F.lit(0))
     total = sum(scores, F.lit(0)) + F.when(matched > 1, (matched - 1) * 20).otherwise(0)
     return nodes.select("key", total.cast("int").alias("score")).filter("score > 0").orderBy(F.desc("score"), "key").limit(limit)
@@ -61,10 +69,15 @@ def search_fuzzy(nodes: DataFrame, query: str, threshold: float = 0.6, limit: in
     return scored.select("key", F.floor(F.col("similarity") * 39).cast("int").alias("score"), "similarity").orderBy(F.desc("score"), F.desc("similarity"), "key").limit(limit)
 
 
-def search(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Exact search; fuzzy where it finds nothing."""
-    exact = search_exact(nodes, query, limit)
-    return exact if exact.limit(1).count() else search_fuzzy(nodes, query, limit=limit).drop("similarity")
+def search(nodes: DataFrame, query: str, limit: int = 50, domain: str | None = None, kind: str | None = None, repo: str | None = None, fuzzy: bool = True, threshold: float = 0.6) -> tuple[DataFrame, bool]:
+    """The best nodes (key, score) and whether there are more: exact search; fuzzy where that finds nothing."""
+    nodes = narrowed(nodes, domain, kind, repo)
+    exact = search_exact(nodes, query, limit + 1)
+    n = exact.count()
+    if not n and fuzzy:
+        exact = search_fuzzy(nodes, query, threshold, limit + 1).drop("similarity")
+        n = exact.count()
+    return exact.orderBy(F.desc("score"), "key").limit(limit), n > limit
 
 
 def entry_points(nodes: DataFrame, question: str, limit: int = 10, each: int = 20) -> DataFrame:

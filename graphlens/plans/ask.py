@@ -61,7 +61,7 @@ class Graph:
     _explain = _describe
 
     def _list(self, q: str) -> DataFrame:
-        return search.search(self.nodes, q)
+        return search.search(self.nodes, q)[0]
 
     def _impact(self, q: str) -> DataFrame:
         return context.impact(self.nodes, self.edges, self.seeds(q))
@@ -78,4 +78,4 @@ class Graph:
         return ball.groupBy("node").agg(F.count("*").alias("n_seeds")).filter("n_seeds = 2")
 
     def _locate(self, q: str) -> DataFrame:
-        return search.search(self.nodes, q).join(self.nodes.select("key", "path"), "key")
+        return search.search(self.nodes, q)[0].join(self.nodes.select("key", "path"), "key")

@@ -129,7 +129,48 @@ _RECORDS = f"""t AS (SELECT DISTINCT body, regexp_extract(body, '(?m)^id: ([^ '
 _STEP = """SELECT seed, node, arg_min(rel_type, (NOT hard, rel_type)) AS via, bool_or(hard) AS hard FROM (SELECT f.seed, r.dst AS node, r.rel_type, r.rel_type IN ('implements', 'implemented_by') AS hard FROM {front} f JOIN cr r ON f.node = r.src {where}) WHERE (seed, node) NOT IN ({seen}) GROUP BY ALL"""
 _LATER = "WHERE r.rel_type IN ('implements', 'implemented_by')"
 
+_NF = f"nf AS (SELECT DISTINCT key, {nid('f')} AS file FROM (SELECT {_K} AS key, unnest(source_files) AS f FROM slices) WHERE key IS NOT NULL AND f IS NOT NULL)"
+_STALE = f"""{_SCAN}, mt AS (SELECT {nid('slice_id')} AS slice_id, repo, {nid('f')} AS path, arg_max(source_checksum, (seq_no, source_checksum)) AS c FROM (SELECT slice_id, repo, seq_no, source_checksum, unnest(source_files) AS f FROM slice_metadata WHERE slice_id IS NOT NULL) GROUP BY ALL),
+  stale AS (SELECT DISTINCT mt.path AS file FROM mt JOIN scan ON mt.repo = scan.repo AND mt.path = scan.path WHERE c <> source_hash)"""
+_ENTRY = "coalesce(list_contains(tags, 'exported') OR domain = 'api', false)"
+
+
+def _overview(by: str, where: str) -> str:
+    return f"""WITH {_SN}, x AS (SELECT *, {_ENTRY} AS entry FROM sn WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY {by}, entry ORDER BY key) AS rank FROM x)
+      SELECT {by}, count(*) AS n_nodes, coalesce(string_agg(name, ',' ORDER BY rank) FILTER (entry AND rank <= 5), '') AS entry_points FROM r GROUP BY {by}"""
+
+
 ORACLE = {
+    "show_node": f"""WITH {_SN}, {_SF}, top AS ({_search([q.TERM], 1)}) SELECT 0 AS ord, key, 0 AS depth FROM top
+      UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY dst))::INTEGER AS ord, dst AS key, 1 AS depth FROM sf JOIN top ON sf.src = top.key WHERE dst <> src ORDER BY dst LIMIT 20)""",
+    "implementation_context": f"WITH RECURSIVE {_SN}, {_SF}, {_ball('sf', _EVERY, 1)} SELECT seed, node, depth, domain, type, path FROM ball JOIN sn ON node = key",
+    "related_implementations": f"WITH RECURSIVE {_SN}, {_SF}, {_BOTH}, {_ball('both_', _EVERY, 2)} SELECT seed, node, depth FROM ball JOIN sn a ON seed = a.key JOIN sn b ON node = b.key WHERE depth > 0 AND a.domain = b.domain AND a.type = b.type",
+    "overview": _overview("domain", "true"),
+    "overview_repos": _overview("repo, domain", "repo IS NOT NULL"),
+    "key_components": f"WITH {_SN}, {_SF} SELECT dst AS key, count(*) AS n_dependents FROM sf WHERE dst IN (SELECT key FROM sn) GROUP BY dst HAVING count(*) > 3 ORDER BY n_dependents DESC, key LIMIT 10",
+    "stack_kind": f"""WITH {_SN}, d AS (SELECT DISTINCT domain FROM sn), h AS (SELECT count(*) FILTER (domain = 'frontend') AS f, count(*) FILTER (domain = 'api') AS a, count(*) FILTER (domain = 'data') AS t, count(*) FILTER (domain = 'infrastructure') AS i, count(*) AS n_domains FROM d)
+      SELECT (SELECT count(*) FROM sn) AS n_nodes, n_domains, CASE WHEN f + a + t = 3 THEN 'full stack' WHEN a + t = 2 THEN 'backend' WHEN i = 1 THEN 'infrastructure as code' WHEN n_domains > 3 THEN 'several domains' ELSE 'unknown' END AS stack FROM h""",
+    "diagnostics": f"""WITH {_SN}, {_SF}, {_SB}, {_ONE}, x AS (SELECT (SELECT count(*) FROM sn) AS n_nodes, (SELECT count(*) FROM iso) AS n_isolated, (SELECT count(*) FROM (SELECT * FROM sf UNION ALL SELECT * FROM sb) WHERE src IN (SELECT key FROM sn)) AS l)
+      SELECT n_nodes, n_isolated, round((n_nodes - n_isolated) / n_nodes, 6) AS connectivity, round(l / n_nodes, 6) AS avg_degree FROM x""",
+    "scope_files": f"WITH RECURSIVE {_SN}, {_SF}, {_BOTH}, {_NF}, {_ball('both_', _EVERY, 2)} SELECT DISTINCT a.file AS target, b.file FROM ball JOIN nf a ON seed = a.key JOIN nf b ON node = b.key",
+    "scope_freshness": f"""WITH RECURSIVE {_SN}, {_SF}, {_BOTH}, {_NF}, {_STALE}, {_ball('both_', _EVERY, 1)}, sc AS (SELECT DISTINCT a.file AS target, b.file FROM ball JOIN nf a ON seed = a.key JOIN nf b ON node = b.key),
+      c AS (SELECT target, count(*) AS n_files, count(*) FILTER (file IN (SELECT file FROM stale)) AS n_stale FROM sc GROUP BY target)
+      SELECT *, CASE WHEN n_stale = 0 THEN 'fresh' WHEN n_stale = n_files THEN 'stale' ELSE 'partial' END AS status, CASE WHEN n_stale = 0 THEN 'proceed' ELSE 'reconcile_first' END AS action FROM c""",
+    "affected_keys": f"""WITH {_SF}, {_NF}, {_STALE}, hit AS (SELECT DISTINCT key FROM nf WHERE file IN (SELECT file FROM stale))
+      SELECT key, 'changed' AS how FROM hit UNION ALL SELECT DISTINCT src, 'depends' FROM sf WHERE dst IN (SELECT key FROM hit) AND src NOT IN (SELECT key FROM hit)""",
+    "entity_locators": f"""SELECT uri, entity_uri, repo, file_path FROM (SELECT entity_uri AS uri, entity_uri, repo, {nid('file_path')} AS file_path, row_number() OVER (PARTITION BY entity_uri ORDER BY repo NULLS FIRST, {nid('file_path')} NULLS FIRST) AS n FROM source_locators WHERE entity_uri IS NOT NULL) WHERE n = 1""",
+    "node_matrix": f"WITH {_WE} SELECT src, dst, string_agg(verb, ',' ORDER BY verb) AS verbs FROM we GROUP BY src, dst",
+    "repo_depth_advice": f"""WITH {_WN}, {_WE}, o AS (SELECT repo, count(*) AS n_nodes FROM wn GROUP BY repo), x AS (SELECT repo, count(*) AS e, count(DISTINCT src) AS s, count(DISTINCT dst) AS t FROM we JOIN wn ON src = id GROUP BY repo),
+      m AS (SELECT o.repo, n_nodes, coalesce(e, 0) AS n_edges, coalesce(e / s, 0) AS b, coalesce(1 - t / e, 0) AS c FROM o LEFT JOIN x ON o.repo = x.repo),
+      k AS (SELECT *, CASE WHEN n_edges = 0 THEN 'degenerate' WHEN b >= 3.5 THEN 'exploding' WHEN n_edges / n_nodes >= 2 THEN 'dense' WHEN c >= 0.75 THEN 'convergent' WHEN b <= 0.75 THEN 'sparse' ELSE 'balanced' END AS category FROM m)
+      SELECT repo, n_nodes, n_edges, category, CASE category WHEN 'balanced' THEN 2 WHEN 'convergent' THEN 3 WHEN 'sparse' THEN 3 ELSE 1 END AS depth FROM k""",
+    "node_names": f"""WITH {_WN} SELECT id, trim(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+      printf('%08x', list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(id, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 33 + c) & 4294967295)) AS hash,
+      CASE WHEN length(name) > 12 THEN upper(name[1]) || name[2:9] || '...' ELSE upper(name[1]) || name[2:] END AS label FROM wn WHERE name IS NOT NULL""",
+    "token_estimates": "SELECT DISTINCT file_id, repo, ceil(length(body) / 4)::INTEGER AS n_tokens FROM source_files WHERE body IS NOT NULL",
+    "extractor_gaps": f"""SELECT kind, count(*) AS n_files FROM (SELECT DISTINCT file_id, CASE WHEN e = 'cs' THEN 'csharp' WHEN e = 'json' THEN 'json' WHEN e IN ('py', 'ts', 'css', 'scss') THEN NULL
+      WHEN e IN ('yaml', 'yml') THEN CASE WHEN contains(b, 'AWSTemplateFormatVersion') OR contains(b, 'Type: AWS::') OR contains(b, 'adr_type:') THEN NULL ELSE 'yaml' END ELSE 'unknown' END AS kind
+      FROM (SELECT file_id, {_EXT} AS e, coalesce(body, '') AS b FROM source_files)) WHERE kind IS NOT NULL GROUP BY kind""",
     "record_relationships": f"WITH {_RECORDS} SELECT rel_type, src, dst, 'explicit' AS origin FROM decl UNION ALL SELECT 'enabled_by', dst, src, 'derived' FROM decl WHERE rel_type = 'enables'",
     "record_governance": f"WITH {_RECORDS} SELECT src AS decision_id, 0::BIGINT AS n_governs, count(*) AS n_enables, 0::BIGINT AS n_enforces FROM decl WHERE rel_type = 'enables' GROUP BY src",
     "record_gaps": f"WITH {_RECORDS} SELECT DISTINCT rel_type, src AS source_id, dst AS missing_id FROM decl WHERE starts_with(dst, 'CAP-')",
@@ -141,8 +182,8 @@ ORACLE = {
       l AS (SELECT src_repo, '  ' || regexp_replace(src_repo, '[^a-zA-Z0-9_]', '_', 'g') || ' -->|' || verbs || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '| ' || regexp_replace(dst_repo, '[^a-zA-Z0-9_]', '_', 'g') AS line FROM x)
       SELECT src_repo, 'graph LR' || chr(10) || array_to_string(list_sort(list(line)), chr(10)) AS chart FROM l GROUP BY src_repo""",
     "file_tags": f"""WITH f AS (SELECT DISTINCT file_id, {nid('file_path')} AS path FROM source_files), x AS (SELECT *, lower(path) AS p, regexp_extract(path, '[.]([A-Za-z]+)$', 1) AS e FROM f)
-      SELECT DISTINCT file_id, unnest(list_filter(['layer:' || CASE WHEN contains(p, '/api/') THEN 'api' WHEN contains(p, 'lambda') THEN 'lambda' WHEN contains(p, '/services/') THEN 'service' WHEN contains(p, '/data/') THEN 'data' WHEN contains(p, '/frontend/') THEN 'frontend'
-          WHEN contains(p, 'infra') THEN 'infrastructure' WHEN contains(p, '/jobs/') THEN 'recon' WHEN contains(p, 'scripts/') THEN 'scripts' WHEN contains(p, 'test') THEN 'test' ELSE 'util' END,
+      SELECT DISTINCT file_id, unnest(list_filter(['layer:' || CASE WHEN regexp_matches(p, '/(api|routes|endpoints)/') THEN 'api' WHEN regexp_matches(p, '/(lambda|handlers)/') THEN 'lambda' WHEN regexp_matches(p, '/(services?|domain)/') THEN 'service' WHEN regexp_matches(p, '/(data|repository|models)/') THEN 'data'
+          WHEN regexp_matches(p, '/(components|frontend|src/app)/') THEN 'frontend' WHEN regexp_matches(p, '/(cloudformation|infrastructure)/') THEN 'infrastructure' WHEN regexp_matches(p, '/(recon|rss)/') THEN 'recon' WHEN contains(p, '/scripts/') THEN 'scripts' WHEN regexp_matches(p, '/tests?/') THEN 'test' ELSE 'util' END,
         CASE WHEN e <> '' THEN 'lang:' || CASE e WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'cs' THEN 'csharp' ELSE e END END, CASE WHEN regexp_matches(p, '(^|/)tests?/|[._-](test|spec)[._]') THEN 'test' END], lambda t: t IS NOT NULL)) AS tag FROM x""",
     "topology": f"""WITH RECURSIVE {_WE}, {_HEIGHTS},
       j AS (SELECT h.*, coalesce(g.degree, 0) AS degree FROM h LEFT JOIN (SELECT src, count(*) AS degree FROM e GROUP BY src) g ON h.key = g.src),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphlens.functions import text
 from graphlens.functions.ids import norm_id, slice_key
-from graphlens.operators import architecture, bundles, context, delta, infer, render, search, structure, traverse, workspace
+from graphlens.operators import architecture, bundles, context, delta, explore, infer, render, search, structure, traverse, workspace
 from graphlens.plans.data_queries import p1_found
 from graphlens.session import table
 from graphlens.sources import extract
@@ -391,9 +392,109 @@ def context_bundles(s, d):
     return bundles.bundle(f, every(n, f), files.distinct(), depth=1)
 
 
+def _node_files(s, d):
+    """key, file of all source files of each slice."""
+    rows = table(s, d, "slices").select(slice_key(F.col("slice_domain"), F.col("slice_type"), F.col("slice_id")).alias("key"), F.explode("source_files").alias("f"))
+    return rows.select("key", norm_id("f").alias("file")).dropna().distinct()
+
+
+def _ball(s, d, depth: int = 2):
+    n, f, _ = _all(s, d)
+    return n, traverse.bfs(traverse.both_ways(f), every(n, f), depth)
+
+
+def show_node(s, d):
+    n, f, _ = _all(s, d)
+    return explore.show(n, f, TERM)
+
+
+def implementation_context(s, d):
+    n, f, _ = _all(s, d)
+    return explore.implementation_context(n, traverse.bfs(f, every(n, f), 1))
+
+
+def related_implementations(s, d):
+    return explore.related(*_ball(s, d))
+
+
+def overview(s, d):
+    return explore.overview(g.slice_nodes(s, d), ["domain"])
+
+
+def overview_repos(s, d):
+    return explore.overview(g.slice_nodes(s, d).filter("repo is not null"), ["repo", "domain"])
+
+
+def key_components(s, d):
+    n, f, _ = _all(s, d)
+    return explore.key_components(n, f)
+
+
+def stack_kind(s, d):
+    return explore.stack_kind(g.slice_nodes(s, d))
+
+
+def diagnostics(s, d):
+    n, f, b = _all(s, d)
+    return explore.diagnostics(n, f, b, structure.isolated(n, f, b))
+
+
+def scope_files(s, d):
+    return explore.scope_files(_node_files(s, d), _ball(s, d)[1])
+
+
+def scope_freshness(s, d):
+    return explore.freshness(explore.scope_files(_node_files(s, d), _ball(s, d, 1)[1]), stale_slices(s, d))
+
+
+def affected_keys(s, d):
+    """By the files whose newest scan differs from what slices were extracted from."""
+    return explore.affected(_node_files(s, d), g.slice_edges(s, d), stale_slices(s, d).select(F.col("path").alias("file")))
+
+
+def entity_locators(s, d):
+    """The locator of every entity URI."""
+    l = table(s, d, "source_locators").withColumn("file_path", norm_id("file_path"))
+    wanted = l.filter("entity_uri is not null").select(F.col("entity_uri").alias("uri"), F.lit("entity").alias("kind"), F.col("entity_uri").alias("name")).distinct()
+    return explore.locator_of(l, wanted)
+
+
+def node_matrix(s, d):
+    """Verbs between each two connected nodes."""
+    return g.workspace_edges(s, d).groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_set("verb")), ",").alias("verbs"))
+
+
+def repo_depth_advice(s, d):
+    """Depth that traversals within each repository should take."""
+    n, e = _ws(s, d)
+    own = n.groupBy("repo").agg(F.count("*").alias("n_nodes"))
+    at = e.join(n.select(F.col("id").alias("src"), "repo"), "src").groupBy("repo").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"))
+    both = own.join(at, "repo", "left").fillna(0)
+    branching = F.when(F.col("n_src") > 0, F.col("n_edges") / F.col("n_src")).otherwise(0.0)
+    convergence = F.when(F.col("n_edges") > 0, 1 - F.col("n_dst") / F.col("n_edges")).otherwise(0.0)
+    return both.withColumn("a", explore.depth_advice(F.col("n_nodes"), F.col("n_edges"), branching, convergence, 5)).select("repo", "n_nodes", "n_edges", "a.category", "a.depth")
+
+
+def node_names(s, d):
+    """Slug, hash and shortened label of every workspace node."""
+    n = g.workspace_nodes(s, d).filter("name is not null")
+    return n.select("id", text.slug(F.col("name")).alias("slug"), text.djb2(F.col("id")).alias("hash"), text.shortened(text.title(F.col("name")), 12).alias("label"))
+
+
+def token_estimates(s, d):
+    """Estimated tokens of every file and repository of a scan."""
+    return _files(s, d).filter("body is not null").select("file_id", "repo", text.token_estimate(F.col("body")).alias("n_tokens")).distinct()
+
+
+def extractor_gaps(s, d):
+    return explore.missing_extractors(extract.classify(_files(s, d)), ["python", "typescript", "css", "cloudformation", "adr-yaml"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        show_node, implementation_context, related_implementations, overview, overview_repos, key_components, stack_kind, diagnostics, scope_files, scope_freshness, affected_keys, entity_locators, node_matrix, repo_depth_advice,
+        node_names, token_estimates, extractor_gaps,
         graph_stats, tag_counts, by_tag, lookup_ids, broken_edges, one_sided, isolated, health, search_exact, search_question, search_fuzzy, entry_points, task_candidates, similar, find, usages,
         dependencies_d2, dependents_d2, blast_d2, blast_tiers, blast_risk, closure_forward, closure_reverse, walk_exact, relevant_files, shared_context, context_domains, obligations,
         system_dependencies, verb_counts, repo_types, component_integration, what_calls, group_sizes, adjacency, first_wins, identity_collisions, merged_graph, relationship_pivot, gravity, prefix_affinity,
