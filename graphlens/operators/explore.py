@@ -19,7 +19,7 @@ def by_key(nodes: DataFrame, key: str) -> DataFrame:
 def resolved(nodes: DataFrame, target: str, repo: str | None = None) -> DataFrame:
     """The node that a target names: by its key, else the best that a search finds. One row or none."""
     found = search.narrowed(by_key(nodes, target), repo=repo).select("key").limit(1)
-    return found if found.count() else search.search(nodes, target, 1, repo=repo)[0].select("key")
+    return found if found.count() else search.search(nodes, target, 1, repo=repo).select("key")
 
 
 def show(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 1, limit: int = 20, repo: str | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def search_fuzzy(nodes: DataFrame, query: str, threshold: float = 0.6, limit: in
     return scored.select("key", F.floor(F.col("similarity") * 39).cast("int").alias("score"), "similarity").orderBy(F.desc("score"), F.desc("similarity"), "key").limit(limit)
 
 
-def search(nodes: DataFrame, query: str, limit: int = 50, domain: str | None = None, kind: str | None = None, repo: str | None = None, fuzzy: bool = True, threshold: float = 0.6) -> tuple[DataFrame, bool]:
+def search_page(nodes: DataFrame, query: str, limit: int = 50, domain: str | None = None, kind: str | None = None, repo: str | None = None, fuzzy: bool = True, threshold: float = 0.6) -> tuple[DataFrame, bool]:
     """The best nodes (key, score) and whether there are more: exact search; fuzzy where that finds nothing."""
     nodes = narrowed(nodes, domain, kind, repo)
     exact = search_exact(nodes, query, limit + 1)
@@ -80,6 +80,11 @@ def search(nodes: DataFrame, query: str, limit: int = 50, domain: str | None = N
     return exact.orderBy(F.desc("score"), "key").limit(limit), n > limit
 
 
+def search(nodes: DataFrame, query: str, limit: int = 50, **options) -> DataFrame:
+    """The best nodes alone, as of ``search_page``."""
+    return search_page(nodes, query, limit, **options)[0]
+
+
 def entry_points(nodes: DataFrame, question: str, limit: int = 10, each: int = 20) -> DataFrame:
     """Nodes that the most terms of a question find among their best ``each``.
 

@@ -141,6 +141,8 @@ def _overview(by: str, where: str) -> str:
 
 
 ORACLE = {
+    "strongest_edges": f"""SELECT {nid('from_id')} AS src, {nid('to_id')} AS dst, lower(trim(verb)) AS verb, CASE min(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE min(confidence) FILTER (confidence NOT IN ('high', 'medium')) END AS confidence,
+      count(DISTINCT evidence)::INTEGER AS n_evidence FROM merged_edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND verb IS NOT NULL GROUP BY 1, 2, 3""",
     "show_node": f"""WITH {_SN}, {_SF}, top AS ({_search([q.TERM], 1)}) SELECT 0 AS ord, key, 0 AS depth FROM top
       UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY dst))::INTEGER AS ord, dst AS key, 1 AS depth FROM sf JOIN top ON sf.src = top.key WHERE dst <> src ORDER BY dst LIMIT 20)""",
     "implementation_context": f"WITH RECURSIVE {_SN}, {_SF}, {_ball('sf', _EVERY, 1)} SELECT seed, node, depth, domain, type, path FROM ball JOIN sn ON node = key",
@@ -248,7 +250,7 @@ ORACLE = {
     "group_sizes": f"WITH {_WN}, {_G1} SELECT group_id, count(*) AS n_members FROM gr GROUP BY group_id",
     "adjacency": f"WITH {_WN}, {_WE}, {_PLACED} SELECT src_type, dst_type, array_to_string(list_sort(list_distinct(list(verb))), ',') AS verbs FROM pl GROUP BY ALL",
     "first_wins": f"""SELECT id, repo, node_type FROM (SELECT {nid('node_id')} AS id, repo, node_type, row_number() OVER (PARTITION BY {nid('node_id')} ORDER BY created_at NULLS FIRST, repo NULLS FIRST, node_type NULLS FIRST) AS n FROM ws_nodes WHERE node_id IS NOT NULL) WHERE n = 1""",
-    "identity_collisions": f"""SELECT id, count(DISTINCT repo) AS n_repos, min(repo) AS first_repo, max(repo) AS last_repo FROM (SELECT concat_ws('/', slice_domain, slice_type, {nid('slice_id')}) AS id, repo FROM slices) GROUP BY id HAVING count(DISTINCT repo) > 1""",
+    "identity_collisions": f"SELECT id, count(DISTINCT repo) AS n_repos, min(repo) AS first_repo, max(repo) AS last_repo FROM (SELECT {nid('to_id')} AS id, target_repo AS repo FROM merged_edges WHERE to_id IS NOT NULL) GROUP BY id HAVING count(DISTINCT repo) > 1",
     "merged_graph": f"""WITH {_WN}, e AS (SELECT {nid('from_id')} AS src, {nid('to_id')} AS dst, lower(trim(verb)) AS verb, confidence FROM merged_edges)
       SELECT DISTINCT src, dst, verb FROM e JOIN wn a ON e.src = a.id JOIN wn b ON e.dst = b.id WHERE verb IS NOT NULL AND (a.repo <> b.repo OR confidence IS NULL OR confidence = 'high')""",
     "relationship_pivot": f"WITH {_WE} SELECT src, " + ", ".join(f"count(DISTINCT dst) FILTER (verb = '{v}') AS {v}" for v in ("calls", "contains", "implements", "invokes", "reads", "writes")) + " FROM we GROUP BY src",
@@ -275,7 +277,7 @@ ORACLE = {
         ("missing_id", "ERROR", "slice_id IS NULL"), ("missing_type", "ERROR", "slice_type IS NULL"), ("missing_file", "ERROR", "file_path IS NULL"), ("missing_line", "ERROR", "line_no IS NULL"), ("missing_extractor", "ERROR", "extractor IS NULL"),
         ("unknown_domain", "WARNING", "coalesce(slice_domain NOT IN ('graph', 'api', 'data', 'infrastructure', 'behavior', 'frontend', 'architecture'), true)"), ("empty_sources", "WARNING", "coalesce(len(source_files), 0) = 0"),
         ("bad_timestamp", "WARNING", r"NOT coalesce(regexp_matches(extracted_at, '^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d'), false)"), ("inverted_lines", "WARNING", "coalesce(end_line < line_no, false)"), ("missing_checksum", "INFO", "source_checksum IS NULL"))),
-    "duplicate_ids": f"SELECT {nid('slice_id')} AS id, count(DISTINCT concat_ws('/', slice_domain, slice_type)) AS n_kinds, array_to_string(list_sort(list_distinct(list(concat_ws('/', slice_domain, slice_type)))), ',') AS kinds FROM slices WHERE slice_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT concat_ws('/', slice_domain, slice_type)) > 1",
+    "duplicate_ids": f"SELECT {nid('file_path')} AS id, count(DISTINCT kind) AS n_kinds, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT file_path, concat_ws('/', slice_domain, slice_type) AS kind FROM slice_snapshots WHERE file_path IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT kind) > 1",
     "id_changes": f"SELECT repo, {nid('file_path')} AS path, count(DISTINCT extractor) AS n_extractors, count(DISTINCT {nid('slice_id')}) AS n_ids FROM slice_snapshots GROUP BY ALL HAVING count(DISTINCT extractor) > 1",
     "manifest_diff": f"""WITH mid AS (SELECT (max(seq_no) + min(seq_no)) / 2 AS mid FROM slice_metadata), r AS (SELECT {nid('f')} AS path, seq_no, {{'v': source_checksum}} AS c FROM (SELECT *, unnest(source_files) AS f FROM slice_metadata)),
       a AS (SELECT path, arg_max(c, (seq_no, c)).v AS v FROM r, mid WHERE seq_no <= mid GROUP BY path), b AS (SELECT path, arg_max(c, (seq_no, c)).v AS v FROM r, mid WHERE seq_no > mid GROUP BY path)

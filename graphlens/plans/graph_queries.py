@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text
 from graphlens.functions.ids import norm_id, slice_key
-from graphlens.operators import architecture, bundles, context, delta, explore, infer, render, search, structure, traverse, workspace
+from graphlens.operators import architecture, bundles, context, delta, emit, explore, infer, relations, render, search, structure, traverse, workspace
 from graphlens.plans.data_queries import p1_found
 from graphlens.session import table
-from graphlens.sources import extract
+from graphlens.sources import extract, templates, typescript
 from graphlens.sources import graphs as g
 from graphlens.streaming import changes
 
@@ -226,7 +226,9 @@ def first_wins(s, d):
 
 
 def identity_collisions(s, d):
-    return workspace.identity_collisions(table(s, d, "slices").select(F.concat_ws("/", "slice_domain", "slice_type", norm_id("slice_id")).alias("id"), "repo").distinct(), "id")
+    """Targets which edges place in several repositories."""
+    e = table(s, d, "merged_edges").select(norm_id("to_id").alias("id"), F.col("target_repo").alias("repo"))
+    return workspace.identity_collisions(e.filter("id is not null"), "id")
 
 
 def merged_graph(s, d):
@@ -292,7 +294,8 @@ def schema_findings(s, d):
 
 
 def duplicate_ids(s, d):
-    return delta.duplicate_ids(table(s, d, "slices"))
+    """Files that slices of several kinds come from."""
+    return delta.duplicate_ids(table(s, d, "slice_snapshots").withColumn("slice_id", F.col("file_path")))
 
 
 def id_changes(s, d):
@@ -373,19 +376,10 @@ def dependency_charts(s, d):
     return render.flow_chart(deps, "src_repo", "src_repo", "dst_repo", render.multiplicity(F.col("verbs"), F.col("n_edges")))
 
 
-def import_edges(s, d):
-    files = _files(s, d).select("file_id", "repo", norm_id("file_path").alias("path")).distinct()
-    return infer.import_edges(files, extract.imports(_files(s, d)))
-
-
 def file_tags(s, d):
     return infer.tags(_files(s, d).select("file_id", norm_id("file_path").alias("path")).distinct())
 
 
-def call_edges(s, d):
-    return infer.call_edges(extract.python_facts(_files(s, d)).select("file_id", "kind", "name").distinct())
-
-
 def context_bundles(s, d):
     n, f, _ = _all(s, d)
     files = table(s, d, "slices").select(slice_key(F.col("slice_domain"), F.col("slice_type"), F.col("slice_id")).alias("node"), norm_id(F.try_element_at("source_files", F.lit(1))).alias("source_uri")).dropna()
@@ -490,18 +484,64 @@ def extractor_gaps(s, d):
     return explore.missing_extractors(extract.classify(_files(s, d)), ["python", "typescript", "css", "cloudformation", "adr-yaml"])
 
 
+def _paths(s, d):
+    return _files(s, d).select("file_id", "repo", norm_id("file_path").alias("path")).dropna().distinct()
+
+
+def all_facts(s, d):
+    """Facts of all extractors over all files."""
+    files = _files(s, d)
+    records = extract.decision_records(files).select("file_id", F.lit("adr").alias("kind"), F.col("adr_id").alias("name"), F.col("adr_type").alias("detail"))
+    infra = templates.template_facts(files).select("file_id", "kind", "name", F.col("type").alias("detail"), F.col("target").alias("owner"))
+    return relations.union_facts(extract.python_facts(files), typescript.typescript_facts(files), infra, extract.styles(files), records)
+
+
+def slice_elements(s, d):
+    return relations.elements(all_facts(s, d), _paths(s, d)).select("key", "domain", "type", "path", "name", "line")
+
+
+def module_rows(s, d):
+    out = relations.modules(_paths(s, d), all_facts(s, d))
+    return out.select("module_id", "path", "layer", *[F.array_join(c, ",").alias(c) for c in ("internal", "external", "exports")]).distinct()
+
+
+def _resolved_calls(called: str, defined: str):
+    return lambda s, d: relations.calls(all_facts(s, d), _paths(s, d), called, defined)
+
+
+def class_modules(s, d):
+    return relations.contained(all_facts(s, d), _paths(s, d), "class").select("name", "module_id").distinct()
+
+
+def function_modules(s, d):
+    return relations.contained(all_facts(s, d), _paths(s, d), "function").select("name", "module_id").distinct()
+
+
+def template_edges(s, d):
+    return relations.depends(templates.template_facts(_files(s, d)))
+
+
+def strongest_edges(s, d):
+    """One edge for each pair and verb, by its highest confidence, with the number of texts that speak for it."""
+    e = table(s, d, "merged_edges").select(norm_id("from_id").alias("src"), norm_id("to_id").alias("dst"), F.lower(F.trim("verb")).alias("verb"), "confidence", "evidence").dropna(subset=["src", "dst", "verb"])
+    return emit.strongest(e).select("src", "dst", "verb", "confidence", F.size("evidence").alias("n_evidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        all_facts, slice_elements, module_rows, class_modules, function_modules, template_edges, strongest_edges,
         show_node, implementation_context, related_implementations, overview, overview_repos, key_components, stack_kind, diagnostics, scope_files, scope_freshness, affected_keys, entity_locators, node_matrix, repo_depth_advice,
         node_names, token_estimates, extractor_gaps,
         graph_stats, tag_counts, by_tag, lookup_ids, broken_edges, one_sided, isolated, health, search_exact, search_question, search_fuzzy, entry_points, task_candidates, similar, find, usages,
         dependencies_d2, dependents_d2, blast_d2, blast_tiers, blast_risk, closure_forward, closure_reverse, walk_exact, relevant_files, shared_context, context_domains, obligations,
         system_dependencies, verb_counts, repo_types, component_integration, what_calls, group_sizes, adjacency, first_wins, identity_collisions, merged_graph, relationship_pivot, gravity, prefix_affinity,
         embodiment, height, topology, change_counts, locator_freshness, stale_slices, checksum_drift, coverage, schema_findings, duplicate_ids, id_changes, manifest_diff, signature_changes, debounced, transactions, bursts,
-        record_relationships, record_governance, record_gaps, consequence_surface, dependency_charts, import_edges, file_tags, call_edges, context_bundles,
+        record_relationships, record_governance, record_gaps, consequence_surface, dependency_charts, file_tags, context_bundles,
     )
 } | {
+    "resolved_calls": _resolved_calls("call", "function"),
+    "typescript_facts": lambda s, d: typescript.typescript_facts(_files(s, d)), "template_facts": lambda s, d: templates.template_facts(_files(s, d)),
     "compress_l0": compress(0), "compress_l1": compress(1), "compress_l2": compress(2), "compress_l3": compress(3),
     "classify_files": lambda s, d: extract.classify(_files(s, d)), "imports": lambda s, d: extract.imports(_files(s, d)), "styles": lambda s, d: extract.styles(_files(s, d)),
     "resources": lambda s, d: extract.resources(_files(s, d)), "decision_records": lambda s, d: extract.decision_records(_files(s, d)), "decision_edges": lambda s, d: extract.decision_edges(_files(s, d)),

@@ -141,3 +141,14 @@ def test_nested_stacks(spark, rows):
     b = spark.createDataFrame([("c#p", "reference", "b#p"), ("b#p", "reference", "a#p"), ("a#p", "literal", "7"), ("x", "reference", "y"), ("y", "reference", "x"), ("g", "reference", "gone"), ("u", "unsupported", None)], "key string, kind string, value string")
     assert rows(stacks.resolve(b).select("key", "value", "reason")) == [("a#p", "7", None), ("b#p", "7", None), ("c#p", "7", None), ("g", None, "RESOURCE_NOT_FOUND"), ("u", None, "UNSUPPORTED_INTRINSIC"), ("x", None, "CYCLE_DETECTED"), ("y", None, "CYCLE_DETECTED")]
     assert {r.key: r.reason for r in stacks.resolve(b, 1).collect()}["c#p"] == "MAX_DEPTH_EXCEEDED"
+
+
+def test_search_filters_truncation_and_further_rules(spark):
+    data = [("d/t/alpha", "d", "t", "alpha", "alpha", "r", "a.py", [], "about beta things", None), ("d/u/gamma", "d", "u", "gamma", "gamma", "s", "b.py", [], None, "notes on beta"), ("e/t/beta", "e", "t", "beta", "beta", "r", "c.py", [], None, None)]
+    n = spark.createDataFrame(data, "key string, domain string, type string, id string, name string, repo string, path string, tags array<string>, description string, docstring string")
+    assert [(r.key, r.score) for r in search.search(n, "beta").collect()] == [("e/t/beta", 100), ("d/t/alpha", 70), ("d/u/gamma", 50)]
+    page, more = search.search_page(n, "beta", 1)
+    assert [r.key for r in page.collect()] == ["e/t/beta"] and more
+    page, more = search.search_page(n, "beta", 5, domain="d", kind="u", repo="s")
+    assert [r.key for r in page.collect()] == ["d/u/gamma"] and not more
+    assert search.search_page(n, "betta", 5, fuzzy=False)[0].count() == 0 and search.search_page(n, "betta", 5)[0].count() == 1
