@@ -71,6 +71,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+#: Scratch folders and tables by context, for ``forget``.
+_MADE: dict[int, tuple[list[str], list[str]]] = {}
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop all scratch tables and folders that operators made in this session.
+
+    To be called when no result is read any more: results are lazy and may read from them.
+    """
+    roots, tables = _MADE.pop(id(spark.sparkContext), ([], []))
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in roots:
+        delete(spark, path)
+
+
+def open_bucketed(spark: SparkSession, path: str, columns: str, keys: list[str], buckets: int) -> DataFrame:
+    """A table that was written in buckets to ``path``, also in an earlier session."""
+    name = f"graphlens_open_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    _MADE.setdefault(id(spark.sparkContext), ([], []))[1].append(name)
+    return spark.table(name)
+
+
 class Scratch:
     """Intermediate tables of one operator run, under the shared folder.
 
@@ -82,6 +106,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _MADE.setdefault(id(spark.sparkContext), ([], []))[0].append(self.root)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -95,7 +120,7 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def save_bucketed(self, df: DataFrame, name: str, keys: list[str], split: str | None = None, placed: bool = False, buckets: int | None = None) -> DataFrame:
+    def save_bucketed(self, df: DataFrame, name: str, keys: list[str], split: str | None = None, placed: bool = False, buckets: int | None = None, path: str | None = None) -> DataFrame:
         """Write ``df`` in buckets of ``keys``, one file for each bucket (and value of ``split``).
 
         Joins and groupings of such tables by these keys need no shuffle. ``placed``: each task of ``df``
@@ -106,7 +131,8 @@ class Scratch:
         writer = (df if placed else df.repartition(n, *keys)).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
         if split:
             writer = writer.partitionBy(split)
-        writer.option("path", self.path(name)).saveAsTable(table_name)
+        writer.option("path", path or self.path(name)).saveAsTable(table_name)
+        _MADE[id(self.spark.sparkContext)][1].append(table_name)
         return self.spark.table(table_name)
 
     def drop(self, *tables: DataFrame | None) -> None:

@@ -1,3 +1,4 @@
+import uuid
 from datetime import datetime
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.ids import canonical_json, marked, norm_id, row_hash, set_hash
 from graphlens.operators import snapshots
+from graphlens.session import forget, shared_dir
 
 SCHEMA = "repo string, slice_id string, snapshot_no int, delivered_at timestamp, value string, row_hash string"
 T = [datetime(2026, 1, d) for d in range(1, 9)]
@@ -40,6 +42,29 @@ def test_empty_tables_and_null_keys_give_nothing(spark, data, listed):
     assert changes(spark, data, listed).count() == 0
 
 
+def test_stored_index_takes_one_snapshot_a_call(spark, rows, monkeypatch):
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    frame = lambda data: spark.createDataFrame(data, "repo string, slice_id string, row_hash long, change_kind string")
+    of = lambda *groups: spark.createDataFrame([(g,) for g in groups], "repo string")
+    call = lambda data, n, *groups: snapshots.SnapshotStore(spark, root, "repo", ["slice_id"]).process(frame(data), n, of(*groups))
+    assert call([("r", "a", 1, None), ("r", "b", 1, None), ("x", "q", 1, None)], 1, "r").count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "rename", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            call([("r", "a", 2, None)], 2, "r")
+    assert rows(call([("r", "a", 2, None), ("s", "z", 1, None)], 2, "r", "s")) == [("r", "a", "changed"), ("r", "b", "removed")]
+    assert rows(call([], 2, "r")) == [("r", "a", "changed"), ("r", "b", "removed")]  # published: not compared again
+    assert rows(call([("s", "z", 1, None), ("s", "y", 1, None)], 3, "s")) == [("s", "y", "added")]
+    assert rows(call([("r", "a", 2, None), ("r", "b", 5, None)], 4, "r")) == [("r", "b", "added")]
+    forget(spark)
+
+
+def test_more_groups_than_are_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr(snapshots, "BROADCAST_GROUPS", 0)
+    data = [("r", "a", 1, T[0], "x", None), ("r", "a", 2, T[1], "y", None), ("s", "b", 2, T[1], "x", None), ("r", "a", 3, T[2], "y", None), ("s", "c", 3, T[2], "x", None)]
+    assert rows(changes(spark, data, [("r", 1), ("r", 2), ("s", 2), ("s", 3), ("r", 3)])) == [("r", "a", 2, "changed"), ("s", "b", 3, "removed"), ("s", "c", 3, "added")]
+
+
 def test_old_values_only_for_changes(spark, rows):
     prior = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("r", "c", 3)], "repo string, slice_id string, v int")
     found = spark.createDataFrame([("r", "a", "changed"), ("r", "z", "added")], "repo string, slice_id string, change_kind string")
