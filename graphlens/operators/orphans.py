@@ -47,24 +47,26 @@ def orphan_references(refs: DataFrame, parents: DataFrame, scratch: Scratch, flo
 
 
 def graph_references(slices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The references of slices and of workspace edges: ref_field, owner_id, target_id, recorded_at."""
+    """The references of slices and of workspace edges: ref_field, owner_id, target_id, recorded_at; repeated rows repeat."""
     owner = slice_key(F.col("slice_domain"), F.col("slice_type"), F.col("slice_id"))
     parts = []
     for field in ("forward_refs", "backward_refs"):
         one = slices.select(owner.alias("owner_id"), "recorded_at", F.explode(F.array_distinct(field)).alias("ref"))
         parts.append(one.select(F.lit(field).alias("ref_field"), "owner_id", slice_key(F.col("ref.slice_domain"), F.col("ref.slice_type"), F.col("ref.slice_id")).alias("target_id"), "recorded_at"))
     of_edges = edges.select(F.lit("merged_edges").alias("ref_field"), F.col("edge_id").cast("string").alias("owner_id"), norm_id("to_id").alias("target_id"), "recorded_at")
-    keep = lambda df: df.filter("target_id is not null").distinct()
-    return keep(parts[0].unionByName(parts[1])), keep(of_edges)
+    return parts[0].unionByName(parts[1]).filter("target_id is not null"), of_edges.filter("target_id is not null")
 
 
 def graph_orphans(slices: DataFrame, edges: DataFrame, nodes: DataFrame, systems: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
-    """Orphans of both kinds: ref_field, owner_id, target_id, recorded_at, reason."""
+    """Orphans of both kinds, each once: ref_field, owner_id, target_id, recorded_at, reason.
+
+    Repeated references only come together when orphans are left of them: to make them distinct before would shuffle all.
+    """
     scratch = Scratch(slices.sparkSession, "orphans")
     of_slices, of_edges = graph_references(slices, edges)
     keys = lifetimes(slices, slice_key(F.col("slice_domain"), F.col("slice_type"), F.col("slice_id")), "created_at", "deleted_at")
     ids = lifetimes(nodes, norm_id("node_id"), "created_at", "deleted_at").unionByName(lifetimes(systems, norm_id("system_id"))).distinct()
-    return orphan_references(of_slices, keys, scratch, floor).unionByName(orphan_references(of_edges, ids, scratch, floor))
+    return orphan_references(of_slices, keys, scratch, floor).unionByName(orphan_references(of_edges, ids, scratch, floor)).distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
