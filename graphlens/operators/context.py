@@ -54,6 +54,37 @@ def obligations(impacted: DataFrame, declared: DataFrame) -> DataFrame:
     return size.join(own, "seed", "left").fillna(0, ["n_declared"]).withColumn("risk", level)
 
 
+#: Change types and what each obliges to besides what is declared and derived.
+CHANGES = ("modify", "rename", "delete", "refactor", "add")
+
+
+def advice(impacted: DataFrame, nodes: DataFrame, change: str) -> DataFrame:
+    """For each seed of an impact: n_dependents, risk, review and suggested tests, by the type of the change.
+
+    impacted: seed, node, depth, way (dependents or dependencies). Tests are named by the convention of the seed's language.
+    """
+    counts = impacted.groupBy("seed").agg(F.count_if(F.col("way") == "dependents").alias("n_dependents"), F.count("*").alias("n_impacted"))
+    at = nodes.select(F.col("key").alias("seed"), "id", "type", "path").join(counts, "seed", "left").fillna(0, ["n_dependents", "n_impacted"])
+    n, ident = F.col("n_dependents"), F.col("id")
+    if change in ("delete", "rename"):
+        word = "Delete" if change == "delete" else "Rename"
+        review = F.concat(F.lit(f"{word} "), ident, F.lit(": "), n.cast("string"), F.lit(" to update"))
+    else:
+        review = F.when(n > 5, F.concat(n.cast("string"), F.lit(" dependents: roll out in steps"))).when(n > 0, F.concat(n.cast("string"), F.lit(" dependents to review"))).otherwise("no dependents")
+    total = F.col("n_impacted") + 1
+    risk = F.lit("high") if change == "delete" else F.when(total > 20, "high").when((total > 5) | F.lit(change == "refactor"), "medium").otherwise("low")
+    file = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(file, r"\.[^.]+$", "")
+    tests = F.when(file.endswith(".py"), F.concat(F.lit("tests/test_"), stem, F.lit(".py"))).when(file.rlike(r"\.(ts|tsx|js|jsx)$"), F.concat(stem, F.lit(".test.ts,"), stem, F.lit(".spec.ts"))).otherwise("")
+    return at.select("seed", "n_dependents", risk.alias("risk"), review.alias("review"), F.coalesce(tests, F.lit("")).alias("tests"))
+
+
+def invalidated(impacted: DataFrame, claims: DataFrame) -> DataFrame:
+    """Claims (node, claim) about nodes that a change of each seed reaches, or about the seed: seed, claim; each once."""
+    hit = impacted.select("seed", "node").unionByName(impacted.select("seed", F.col("seed").alias("node"))).distinct()
+    return hit.join(claims, "node").select("seed", "claim").distinct()
+
+
 def budgeted(refs: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` references of each context, and the rest marked as excluded."""
     from pyspark.sql import Window

@@ -143,6 +143,19 @@ def _overview(by: str, where: str) -> str:
 ORACLE = {
     "strongest_edges": f"""SELECT {nid('from_id')} AS src, {nid('to_id')} AS dst, lower(trim(verb)) AS verb, CASE min(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE min(confidence) FILTER (confidence NOT IN ('high', 'medium')) END AS confidence,
       count(DISTINCT evidence)::INTEGER AS n_evidence FROM merged_edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND verb IS NOT NULL GROUP BY 1, 2, 3""",
+    "change_advice": f"""WITH RECURSIVE {_SN}, {_SF}, {_REV}, {_ball('rev', _ends('sf'), 2)}, w2 AS (SELECT seed, seed AS node, 0 AS depth FROM {_ends('sf')} UNION SELECT w2.seed, l.dst, w2.depth + 1 FROM w2 JOIN sf l ON w2.node = l.src WHERE w2.depth < 2),
+      x AS (SELECT key AS seed, coalesce(n_dependents, 0)::BIGINT AS n_dependents, coalesce(n_impacted, 0) + 1 AS total, split_part(path, '/', -1) AS f FROM sn LEFT JOIN (SELECT seed, sum(u) AS n_dependents, sum(u + v) AS n_impacted FROM (SELECT seed, node, 1 AS u, 0 AS v FROM ball WHERE depth > 0
+        UNION ALL SELECT DISTINCT seed, node, 0, 1 FROM w2 WHERE node <> seed) GROUP BY seed) k ON sn.key = k.seed)
+      SELECT seed, n_dependents, CASE WHEN total > 20 THEN 'high' ELSE 'medium' END AS risk, CASE WHEN n_dependents > 5 THEN n_dependents || ' dependents: roll out in steps' WHEN n_dependents > 0 THEN n_dependents || ' dependents to review' ELSE 'no dependents' END AS review,
+        CASE WHEN f LIKE '%.py' THEN 'tests/test_' || regexp_replace(f, '[.][^.]+$', '') || '.py' WHEN regexp_matches(f, '[.](ts|tsx|js|jsx)$') THEN regexp_replace(f, '[.][^.]+$', '') || '.test.ts,' || regexp_replace(f, '[.][^.]+$', '') || '.spec.ts' ELSE '' END AS tests FROM x""",
+    "project_structure": f"""WITH f AS (SELECT DISTINCT repo, {nid('file_path')} AS path FROM source_files WHERE repo IS NOT NULL AND file_path IS NOT NULL),
+      m AS (SELECT repo, 'language' AS mark, regexp_extract(path, '[.]([A-Za-z]+)$', 1) AS name FROM f UNION ALL SELECT repo, 'root', split_part(path, '/', 1) FROM f UNION ALL SELECT repo, 'framework', 'angular' FROM f WHERE regexp_matches(path, '(^|/)angular[.]json$')
+        UNION ALL SELECT repo, 'framework', 'node' FROM f WHERE regexp_matches(path, '(^|/)package[.]json$') UNION ALL SELECT repo, 'framework', 'serverless' FROM f WHERE regexp_matches(path, '(^|/)(serverless|samconfig|template)[.](ya?ml|toml)$')
+        UNION ALL SELECT repo, 'domain', 'frontend' FROM f WHERE regexp_matches(path, '(^|/)(frontend|components|ui|web)/') UNION ALL SELECT repo, 'domain', 'api' FROM f WHERE regexp_matches(path, '(^|/)(api|routes|handlers|controllers)/')
+        UNION ALL SELECT repo, 'domain', 'data' FROM f WHERE regexp_matches(path, '(^|/)(data|models|repository|schemas?)/') UNION ALL SELECT repo, 'domain', 'infrastructure' FROM f WHERE regexp_matches(path, '(^|/)(infra|infrastructure|cloudformation|terraform)/')
+        UNION ALL SELECT repo, 'domain', 'testing' FROM f WHERE regexp_matches(path, '(^|/)tests?/')) SELECT repo, mark, name, count(*) AS n_files FROM m WHERE name <> '' GROUP BY ALL""",
+    "style_classes": f"""WITH t AS (SELECT file_id, regexp_replace(regexp_replace(body, '(?s)/[*].*?[*]/', '', 'g'), '"[^"\\n]*"', '', 'g') AS b FROM {_of('css')}), s AS (SELECT file_id, unnest(regexp_extract_all(b, '([^{{}};]*)[{{]', 1)) AS sel FROM t)
+      SELECT DISTINCT file_id, unnest(regexp_extract_all(sel, '[.]([A-Za-z_][A-Za-z0-9_-]*)', 1)) AS name FROM s WHERE NOT starts_with(trim(sel, ' ' || chr(10)), '@')""",
     "show_node": f"""WITH {_SN}, {_SF}, top AS ({_search([q.TERM], 1)}) SELECT 0 AS ord, key, 0 AS depth FROM top
       UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY dst))::INTEGER AS ord, dst AS key, 1 AS depth FROM sf JOIN top ON sf.src = top.key WHERE dst <> src ORDER BY dst LIMIT 20)""",
     "implementation_context": f"WITH RECURSIVE {_SN}, {_SF}, {_ball('sf', _EVERY, 1)} SELECT seed, node, depth, domain, type, path FROM ball JOIN sn ON node = key",
@@ -306,8 +319,8 @@ ORACLE = {
     "decision_edges": f"""WITH t AS (SELECT DISTINCT body, regexp_extract(body, '(?m)^id: ([^ ' || chr(10) || ']+)', 1) AS adr_id FROM {_of('yaml', 'yml')}), m AS (SELECT adr_id, unnest(regexp_extract_all(body, '{_DEC}', 0)) AS m FROM t WHERE adr_id <> ''),
       f AS (SELECT adr_id, regexp_extract(m, '(DEC-[0-9]+)', 1) AS dec, regexp_extract(m, 'enables: [[]([^]]*)[]]', 1) AS caps FROM m)
       SELECT DISTINCT adr_id AS src, 'introduces' AS verb, dec AS dst FROM f UNION SELECT DISTINCT dec, 'enables', cap FROM (SELECT dec, unnest(string_split_regex(caps, ', *')) AS cap FROM f) WHERE cap <> ''""",
-    "headings": """SELECT DISTINCT doc_id, length(regexp_extract(line, '^(#+)', 1))::INTEGER AS level, regexp_extract(line, '^#+ +(.*?) *$', 1) AS title
-      FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^#{1,6} +[^ ]')""",
+    "headings": r"""SELECT DISTINCT doc_id, length(regexp_extract(line, '^(#+)', 1))::INTEGER AS level, regexp_extract(line, '^#+ +(.*?) *$', 1) AS title
+      FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(replace(text, chr(13), ''), '(?ms)^[ \t]*```.*?(^[ \t]*```[^\n]*$|\z)', '', 'g'), '(?ms)^[ \t]*~~~.*?(^[ \t]*~~~[^\n]*$|\z)', '', 'g'), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^#{1,6} +[^ ]')""",
     "links": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(https?://[A-Za-z0-9_./#?=&%-]+)', 1)) AS url FROM documents",
     **{f"compress_l{k}": _compress(k) for k in range(4)},
 }

@@ -10,7 +10,7 @@ from graphlens.functions.ids import norm_id, slice_key
 from graphlens.operators import architecture, bundles, context, delta, emit, explore, infer, relations, render, search, structure, traverse, workspace
 from graphlens.plans.data_queries import p1_found
 from graphlens.session import table
-from graphlens.sources import extract, templates, typescript
+from graphlens.sources import documents, extract, templates, typescript
 from graphlens.sources import graphs as g
 from graphlens.streaming import changes
 
@@ -527,9 +527,30 @@ def strongest_edges(s, d):
     return emit.strongest(e).select("src", "dst", "verb", "confidence", F.size("evidence").alias("n_evidence"))
 
 
+def change_advice(s, d):
+    """What a refactoring of each node obliges to."""
+    n, f, _ = _all(s, d)
+    ahead, back = traverse.reached(f, ends(f), 2).withColumn("way", F.lit("dependencies")), traverse.reached(reverse(f), ends(f), 2).withColumn("way", F.lit("dependents"))
+    return context.advice(ahead.unionByName(back), n, "refactor")
+
+
+def project_structure(s, d):
+    return documents.project_structure(_files(s, d))
+
+
+def style_classes(s, d):
+    """Classes of style sheets, every class of a selector."""
+    return documents.document_facts(_files(s, d), "css").filter("kind = 'css_class'").select("file_id", "name").distinct()
+
+
+def _documents(reader: str):
+    return lambda s, d: documents.document_facts(_files(s, d), reader)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        change_advice, project_structure, style_classes,
         all_facts, slice_elements, module_rows, class_modules, function_modules, template_edges, strongest_edges,
         show_node, implementation_context, related_implementations, overview, overview_repos, key_components, stack_kind, diagnostics, scope_files, scope_freshness, affected_keys, entity_locators, node_matrix, repo_depth_advice,
         node_names, token_estimates, extractor_gaps,
@@ -541,6 +562,7 @@ QUERIES = {
     )
 } | {
     "resolved_calls": _resolved_calls("call", "function"),
+    "csharp_facts": _documents("csharp"), "component_facts": _documents("components"), "record_facts": _documents("decision_record"),
     "typescript_facts": lambda s, d: typescript.typescript_facts(_files(s, d)), "template_facts": lambda s, d: templates.template_facts(_files(s, d)),
     "compress_l0": compress(0), "compress_l1": compress(1), "compress_l2": compress(2), "compress_l3": compress(3),
     "classify_files": lambda s, d: extract.classify(_files(s, d)), "imports": lambda s, d: extract.imports(_files(s, d)), "styles": lambda s, d: extract.styles(_files(s, d)),

@@ -44,10 +44,11 @@ def matches(files: DataFrame, pattern: str, group: int = 1) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """file_id, target, is_internal of the imports of Python and TypeScript files."""
-    py = of_kind(files, "py")
-    parts = matches(py, r"(?m)^import ([\w.]+)").unionByName(matches(py, r"(?m)^from ([\w.]+) import "))
-    ts = matches(of_kind(files, "ts"), r"(?m)^import [^;'\n]*from '([^'\n]+)'")
+    """file_id, target, is_internal of the imports of Python and TypeScript files, by pattern: broken files give theirs too."""
+    py, one = of_kind(files, "py"), r"[\w.]+(?:[ \t]+as[ \t]+\w+)?"
+    listed = matches(py, rf"(?m)^[ \t]*import[ \t]+({one}(?:[ \t]*,[ \t]*{one})*)").select("file_id", "path", F.explode(F.split("name", ",")).alias("name"))
+    parts = listed.select("file_id", "path", F.regexp_extract("name", r"([\w.]+)", 1).alias("name")).unionByName(matches(py, r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b"))
+    ts = matches(of_kind(files, "ts"), r"""(?m)^[ \t]*import\s+(?:[^;'"()]*?\bfrom\s*)?['"]([^'"\n]+)['"]""")
     both = parts.unionByName(ts)
     return both.select("file_id", F.col("name").alias("target"), (F.col("name").startswith(".") | F.col("name").startswith("src/")).alias("is_internal")).distinct()
 
@@ -55,7 +56,7 @@ def imports(files: DataFrame) -> DataFrame:
 def styles(files: DataFrame) -> DataFrame:
     """file_id, kind, name of classes, variables defined and variables used in style sheets."""
     css = of_kind(files, "css")
-    kinds = {"class": r"\.([A-Za-z_][\w-]*)[^;{}]*\{", "defines": r"(--[\w-]+)\s*:", "uses": r"var\((--[\w-]+)\)"}
+    kinds = {"class": r"\.([A-Za-z_][\w-]*)(?=[^;{}]*\{)", "defines": r"(--[\w-]+)\s*:", "uses": r"var\((--[\w-]+)\)"}
     out = None
     for kind, pattern in kinds.items():
         one = matches(css, pattern).select("file_id", F.lit(kind).alias("kind"), "name")
@@ -88,8 +89,11 @@ def decision_edges(files: DataFrame) -> DataFrame:
 
 
 def headings(docs: DataFrame) -> DataFrame:
-    """doc_id, level, title of the headings of Markdown texts, wherever a line begins with them."""
-    lines = docs.select("doc_id", F.explode(F.split(unix(F.col("text")), "\n")).alias("line")).filter(F.col("line").rlike("^#{1,6} +[^ ]"))
+    """doc_id, level, title of the headings of Markdown texts; lines of fenced code are none."""
+    prose = unix(F.col("text"))
+    for fence in ("```", "~~~"):
+        prose = F.regexp_replace(prose, rf"(?ms)^[ \t]*{fence}.*?(?:^[ \t]*{fence}[^\n]*$|\z)", "")
+    lines = docs.select("doc_id", F.explode(F.split(prose, "\n")).alias("line")).filter(F.col("line").rlike("^#{1,6} +[^ ]"))
     return lines.select("doc_id", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.regexp_extract("line", "^#+ +(.*?) *$", 1).alias("title")).distinct()
 
 
