@@ -108,3 +108,72 @@ def attribution(evidence: DataFrame, declared_in: DataFrame) -> DataFrame:
     through = declared_in.join(evidence.select(F.col("entity_id").alias("record_id"), "slice_id"), "record_id").select("entity_id", "slice_id", F.lit("record").alias("how"))
     direct = evidence.select("entity_id", "slice_id", F.lit("direct").alias("how"))
     return direct.unionByName(through).groupBy("entity_id").agg(F.countDistinct("slice_id").alias("n_slices"), F.count_if(F.col("how") == "direct").alias("n_direct"))
+
+
+#: What each kind of consequence of a decision weighs.
+GRAVITY = {"dependents": 2, "enforces": 3, "governs": 2, "enables": 1, "consequences": 1}
+
+
+def decision_gravity(entities: DataFrame, relationships: DataFrame, consequences: DataFrame | None = None) -> DataFrame:
+    """decision_id, one count for each kind of consequence, and gravity, their weighted sum, of each decision.
+
+    Dependents are entities that reach the decision within two steps. consequences: decision_id, n; without it they are 0.
+    """
+    decisions = entities.filter("entity_type = 'decision'").select(F.col("id").alias("decision_id")).distinct()
+    e = relationships.select("src", "dst").distinct()
+    far = traverse.reached(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), decisions, 2).groupBy(F.col("seed").alias("decision_id")).agg(F.count("*").alias("dependents"))
+    own = relationships.groupBy(F.col("src").alias("decision_id")).agg(*[F.countDistinct(F.when(F.col("rel_type") == v, F.col("dst"))).alias(v) for v in ("enforces", "governs", "enables")])
+    out = decisions.join(far, "decision_id", "left").join(own, "decision_id", "left")
+    out = out.withColumn("consequences", F.lit(0)) if consequences is None else out.join(consequences.withColumnRenamed("n", "consequences"), "decision_id", "left")
+    out = out.fillna(0)
+    return out.withColumn("gravity", sum((F.col(k) * w for k, w in GRAVITY.items()), F.lit(0)).cast("long"))
+
+
+def gravity_summary(scored: DataFrame) -> DataFrame:
+    """Greatest and mean gravity; 0 without decisions."""
+    return scored.agg(F.count("*").alias("n_decisions"), F.coalesce(F.max("gravity"), F.lit(0)).alias("max_gravity"), F.round(F.coalesce(F.avg("gravity"), F.lit(0.0)), 6).alias("mean_gravity"))
+
+
+def boundaries(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """adr_id and the sorted entities that each record declares; of one record each."""
+    records = entities.filter("entity_type = 'adr'").select(F.col("id").alias("adr_id")).distinct()
+    declared = relationships.filter("rel_type = 'declares'").groupBy(F.col("src").alias("adr_id")).agg(F.array_sort(F.collect_set("dst")).alias("declared"))
+    return records.join(declared, "adr_id", "left").withColumn("declared", F.coalesce("declared", F.array().cast("array<string>")))
+
+
+def chains(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """decision_id, relationship, target, target_type: what each decision governs, enables or enforces; unknown targets are left out."""
+    kind = entities.select("id", "entity_type").distinct()
+    at = relationships.filter(F.col("rel_type").isin("governs", "enables", "enforces")).join(kind.filter("entity_type = 'decision'").select(F.col("id").alias("src")), "src", "left_semi")
+    return at.join(kind.select(F.col("id").alias("dst"), F.col("entity_type").alias("target_type")), "dst").select(F.col("src").alias("decision_id"), F.col("rel_type").alias("relationship"), F.col("dst").alias("target"), "target_type").distinct()
+
+
+def invariant_coverage(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """invariant_id and whether decisions and rules enforce it: enforced by both, partially_enforced by one, unenforced."""
+    kind = entities.select(F.col("id").alias("src"), F.col("entity_type").alias("by")).distinct()
+    at = relationships.filter("rel_type = 'enforces'").join(kind, "src").groupBy(F.col("dst").alias("invariant_id")).agg(F.bool_or(F.col("by") == "decision").alias("d"), F.bool_or(F.col("by") == "rule").alias("r"))
+    all_ = entities.filter("entity_type = 'invariant'").select(F.col("id").alias("invariant_id")).distinct().join(at, "invariant_id", "left").fillna(False, ["d", "r"])
+    return all_.select("invariant_id", F.when(F.col("d") & F.col("r"), "enforced").when(F.col("d") | F.col("r"), "partially_enforced").otherwise("unenforced").alias("coverage"))
+
+
+def embodiment_density(entities: DataFrame) -> DataFrame:
+    """Coverage of each type of entity by code: entities (id, entity_type, embodiments, attributed, enforcing: counts).
+
+    covered: embodied and attributed; unlinked: nothing at all; else partial. Only types that code can embody count.
+    """
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("embodiments", "attributed", "enforcing")}
+    state = F.when((n["embodiments"] == 0) & (n["attributed"] == 0) & (n["enforcing"] == 0), "unlinked").when((n["embodiments"] > 0) & (n["attributed"] > 0), "covered").otherwise("partial")
+    at = entities.filter(F.col("entity_type").isin("adr", "capability", "system", "component", "invariant")).withColumn("state", state)
+    return at.groupBy("entity_type").agg(F.count("*").alias("n_entities"), F.count_if(F.col("state") == "covered").alias("n_covered"), F.count_if(F.col("state") == "unlinked").alias("n_unlinked"), F.round(F.avg((F.col("state") == "covered").cast("double")), 6).alias("coverage"))
+
+
+def canonical_invariants(mentions: DataFrame) -> DataFrame:
+    """One row for each invariant of mentions (id, source, standalone): a document of its own beats mentions in others.
+
+    Two documents for one invariant are an error, raised with one of the ids.
+    """
+    twice = mentions.filter("standalone").groupBy("id").agg(F.countDistinct("source").alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"invariant {twice[0].id} has {twice[0].n} documents of its own")
+    best = mentions.groupBy("id").agg(F.min(F.struct((~F.col("standalone")).alias("local"), "source")).alias("best"), F.countDistinct("source").alias("n_mentions"))
+    return best.select("id", "best.source", (~F.col("best.local")).alias("standalone"), "n_mentions")

@@ -81,3 +81,43 @@ def manifest_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def identity_findings(before: DataFrame, now: DataFrame) -> DataFrame:
+    """severity, path, old_id, new_id of files whose id changed between two runs: INFO if their extractor did too, else ERROR.
+
+    Both: path, id, extractor; of several rows of a path the greatest id counts.
+    """
+    last = lambda df, side: df.dropna(subset=["path", "id"]).groupBy("path").agg(F.max(F.struct("id", "extractor")).alias(side))
+    both = last(before, "old").join(last(now, "new"), "path").filter(F.col("old.id") != F.col("new.id"))
+    return both.select(F.when(F.col("old.extractor").eqNullSafe(F.col("new.extractor")), "ERROR").otherwise("INFO").alias("severity"), "path", F.col("old.id").alias("old_id"), F.col("new.id").alias("new_id"))
+
+
+def mixed_versions(states: DataFrame) -> DataFrame:
+    """Extractors of which several versions gave states: base name, n_versions."""
+    base = F.regexp_replace("extractor", r"[-@]?v?\d[\d.]*$", "")
+    return states.filter("extractor is not null").groupBy(base.alias("base")).agg(F.countDistinct("extractor").alias("n_versions")).filter("n_versions > 1")
+
+
+def validated(validators: dict, spark) -> DataFrame:
+    """Findings (validator, severity, description) of all validators, each for itself: one that fails gives a finding of its own."""
+    kept = []
+    for name, run in validators.items():
+        try:
+            found = run().select(F.lit(name).alias("validator"), "severity", "description")
+            found.limit(1).count()
+        except Exception as e:  # a validator must not keep the others from running
+            found = spark.createDataFrame([(name, "ERROR", f"failed: {type(e).__name__}")], "validator string, severity string, description string")
+        kept.append(found)
+    return union_all(kept) if kept else spark.createDataFrame([], "validator string, severity string, description string")
+
+
+def report(findings: DataFrame) -> DataFrame:
+    """Findings by validator and severity."""
+    return findings.groupBy("validator", "severity").agg(F.count("*").alias("n_findings"))
+
+
+def kept_history(history: DataFrame, run: str, keep: int = 10) -> DataFrame:
+    """The rows of the last ``keep`` runs: the feature of a history with a bound."""
+    last = history.select(run).distinct().orderBy(F.desc(run)).limit(keep)
+    return history.join(last, run, "left_semi")

@@ -115,3 +115,18 @@ def task_candidates(nodes: DataFrame, task: str, limit: int = 5) -> DataFrame:
     path = F.size(F.array_intersect(F.split(F.lower("path"), "[^a-z0-9]+"), F.array(*map(F.lit, words))))
     score = hits / len(words) + F.least(F.lit(0.4), 0.1 * F.coalesce(path, F.lit(0))) + F.when(F.lower("domain").isin(words), 0.2).otherwise(0.0)
     return nodes.select("key", F.round(score, 4).alias("score")).filter("score >= 0.05").orderBy(F.desc("score"), "key").limit(limit)
+
+
+def scored_tasks(nodes: DataFrame, task: str, method: str | None = None, domain: str | None = None, limit: int = 5) -> DataFrame:
+    """The best nodes for a task with the reasons: share of the task's words, a method, words of its paths, a domain: key, score, rationale."""
+    words = list(dict.fromkeys(re.findall(r"[a-z0-9]+", task.lower())))
+    hints = list(dict.fromkeys(w for part in re.findall(r"[\w.-]*/[\w./-]*", task.lower()) for w in re.findall(r"[a-z0-9]+", part)))
+    own = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", "id", "path", "name", F.array_join("tags", " "))), "[^a-z0-9]+", " ")), " "))
+    lit = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    hits, paths = F.size(F.array_intersect("own", lit(words))), F.size(F.array_intersect("own", lit(hints)))
+    has_method = F.array_contains("own", method.lower()) if method else F.lit(False)
+    has_domain = F.coalesce(F.col("domain") == domain, F.lit(False)) if domain else F.lit(False)
+    score = hits / max(len(words), 1) + F.when(has_method, 0.4).otherwise(0.0) + F.least(F.lit(0.4), 0.1 * paths) + F.when(has_domain, 0.2).otherwise(0.0)
+    why = F.array_compact(F.array(F.when(hits > 0, F.concat(hits.cast("string"), F.lit(" words"))), F.when(has_method, F.lit(f"method {method}")), F.when(paths > 0, F.lit("path")), F.when(has_domain, F.lit(f"domain {domain}"))))
+    out = nodes.withColumn("own", own).select("key", F.round(score, 4).alias("score"), F.coalesce(F.nullif(F.array_join(why, "; "), F.lit("")), F.lit("nothing in particular")).alias("rationale"))
+    return out.filter("score >= 0.05").orderBy(F.desc("score"), "key").limit(limit)

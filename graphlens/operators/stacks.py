@@ -46,3 +46,18 @@ def resolve(bindings: DataFrame, depth: int = 5) -> DataFrame:
     for d in done[1:]:
         out = out.unionByName(d)
     return out
+
+
+def parameter_table(stacks: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Every parameter of every nested stack: stack_id, parameter, default. stacks as of ``topology``; parameters: template, parameter, default."""
+    ids = stacks.filter("child_template is not null").select(F.concat_ws("#", "parent_template", "logical_id").alias("stack_id"), F.col("child_template").alias("template")).distinct()
+    return ids.join(parameters, "template").select("stack_id", "parameter", "default").distinct()
+
+
+def outputs(stacks: DataFrame, declared: DataFrame) -> DataFrame:
+    """Every output of every nested stack, repeated for each stack of a template: stack_id, output, value, unresolved.
+
+    declared: template, output, value, kind (literal, reference, unsupported).
+    """
+    ids = stacks.filter("child_template is not null").select(F.concat_ws("#", "parent_template", "logical_id").alias("stack_id"), F.col("child_template").alias("template")).distinct()
+    return ids.join(declared, "template").select("stack_id", "output", "value", (F.col("kind") == "unsupported").alias("unresolved")).distinct()

@@ -120,8 +120,8 @@ def topology(depths: DataFrame, edges: DataFrame, key: str = "key") -> DataFrame
     """Depth and degree of a graph, its pattern and the depth that traversals should take."""
     degree = edges.groupBy(F.col("src").alias(key)).agg(F.count("*").alias("degree"))
     both = depths.join(degree, key, "left").fillna(0, ["degree"])
-    m = both.agg(F.count("*").alias("n_nodes"), F.round(F.avg("depth"), 6).alias("avg_depth"), F.max("depth").alias("max_depth"), F.percentile("depth", F.lit(0.0)).alias("_"),
-                 F.expr("cast(percentile_disc(0.95) within group (order by depth) as int)").alias("p95_depth"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.max("degree").alias("max_degree")).drop("_")
+    m = both.agg(F.count("*").alias("n_nodes"), F.round(F.avg("depth"), 6).alias("avg_depth"), F.max("depth").alias("max_depth"),
+                 F.expr("cast(percentile_disc(0.95) within group (order by depth) as int)").alias("p95_depth"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.max("degree").alias("max_degree"))
     m = m.withColumn("pattern", pattern(F.col("avg_depth"), F.col("max_depth"), F.col("avg_degree"), F.col("max_degree")))
     base = F.when(F.col("pattern") == "component-tree", 4).when(F.col("pattern").isin("layered", "flat"), 2).otherwise(3)
     return m.withColumn("recommended_depth", F.least(F.greatest(base, F.ceil(F.col("p95_depth") * 0.6)), F.lit(5)).cast("int"))

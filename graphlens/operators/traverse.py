@@ -104,3 +104,36 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 100) -
         frontier = levels[-1].select("seed", F.col("dst").alias("node")).distinct()
     inside = reduce(DataFrame.unionByName, levels).select("seed", F.struct("src", "dst").alias("link"))
     return inside.groupBy("seed").agg(F.collect_set("link").alias("links")).mapInPandas(_walker(depth, limit), "seed string, ord int, node string, depth int, via string")
+
+
+def snapshot_traverse(nodes: DataFrame, relationships: DataFrame, start: str, snapshot: str, depth: int | None = None) -> DataFrame:
+    """node, depth of what a node of a snapshot reaches, the node itself included; nothing if the snapshot has no such node.
+
+    nodes: id, snapshot; relationships: src, dst, snapshot, dst_snapshot. A relationship that leaves the snapshot on the way is an error.
+    """
+    own = nodes.filter(F.col("snapshot") == snapshot).select("id").distinct()
+    rels = relationships.filter(F.col("snapshot") == snapshot)
+    seed = own.filter(F.col("id") == start).select(F.col("id").alias("seed"))
+    ball = bfs(rels.filter(F.col("dst_snapshot") == snapshot).select("src", "dst"), seed, depth)
+    opened = ball if depth is None else ball.filter(F.col("depth") < depth)
+    foreign = rels.filter(F.col("dst_snapshot") != snapshot).join(opened.select(F.col("node").alias("src")), "src", "left_semi").limit(1).collect()
+    if foreign:
+        raise ValueError(f"{foreign[0].src} refers to {foreign[0].dst} of another snapshot")
+    return ball.select("node", "depth")
+
+
+def candidates(relationships: DataFrame, seeds: DataFrame, known: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """What seeds reach forward over the relationships supplied, and what stays outside, with the reason.
+
+    relationships: src, dst, rel_type; known: node. First: seed, node, depth, via (the least relationship that leads there). Second: seed, node, reason: unknown for targets that are
+    no known nodes, beyond for targets of the last step's nodes. Nothing is inferred backwards.
+    """
+    inside = relationships.join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
+    ball = Scratch(relationships.sparkSession, "candidates").save(bfs(inside.select("src", "dst"), seeds, depth), "ball")
+    before = ball.select("seed", F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
+    via = before.join(inside, "src").groupBy("seed", F.col("dst").alias("node"), "depth").agg(F.min("rel_type").alias("via"))
+    found = ball.filter("depth > 0").join(via, ["seed", "node", "depth"])
+    far = ball.join(relationships.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node"), "depth").distinct()
+    out = far.join(ball.select("seed", "node"), ["seed", "node"], "left_anti").join(known.select("node", F.lit(True).alias("is_known")).distinct(), "node", "left")
+    reason = F.when(F.col("is_known").isNull(), "unknown").otherwise("beyond")
+    return found, out.select("seed", "node", reason.alias("reason")).distinct()

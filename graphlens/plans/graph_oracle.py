@@ -156,6 +156,21 @@ ORACLE = {
         UNION ALL SELECT repo, 'domain', 'testing' FROM f WHERE regexp_matches(path, '(^|/)tests?/')) SELECT repo, mark, name, count(*) AS n_files FROM m WHERE name <> '' GROUP BY ALL""",
     "style_classes": f"""WITH t AS (SELECT file_id, regexp_replace(regexp_replace(body, '(?s)/[*].*?[*]/', '', 'g'), '"[^"\\n]*"', '', 'g') AS b FROM {_of('css')}), s AS (SELECT file_id, unnest(regexp_extract_all(b, '([^{{}};]*)[{{]', 1)) AS sel FROM t)
       SELECT DISTINCT file_id, unnest(regexp_extract_all(sel, '[.]([A-Za-z_][A-Za-z0-9_-]*)', 1)) AS name FROM s WHERE NOT starts_with(trim(sel, ' ' || chr(10)), '@')""",
+    "decision_gravity": f"""WITH {_RECORDS}, en AS (SELECT src AS id FROM decl UNION SELECT dst FROM decl), d AS (SELECT id FROM en WHERE starts_with(id, 'DEC-')), e AS (SELECT DISTINCT src, dst FROM decl),
+      p AS (SELECT d.id, a.src AS n FROM d JOIN e a ON a.dst = d.id UNION SELECT d.id, b.src FROM d JOIN e a ON a.dst = d.id JOIN e b ON b.dst = a.src), far AS (SELECT id, count(*) AS n FROM p WHERE n <> id GROUP BY id), c AS (SELECT src AS id, count(DISTINCT dst) AS n FROM decl WHERE rel_type = 'enables' GROUP BY src)
+      SELECT d.id AS decision_id, coalesce(far.n, 0)::BIGINT AS dependents, 0::BIGINT AS enforces, 0::BIGINT AS governs, coalesce(c.n, 0)::BIGINT AS enables, 0::INTEGER AS consequences, (coalesce(far.n, 0) * 2 + coalesce(c.n, 0))::BIGINT AS gravity FROM d LEFT JOIN far ON d.id = far.id LEFT JOIN c ON d.id = c.id""",
+    "gravity_summary": f"""WITH {_RECORDS}, en AS (SELECT src AS id FROM decl UNION SELECT dst FROM decl), d AS (SELECT id FROM en WHERE starts_with(id, 'DEC-')), e AS (SELECT DISTINCT src, dst FROM decl),
+      p AS (SELECT d.id, a.src AS n FROM d JOIN e a ON a.dst = d.id UNION SELECT d.id, b.src FROM d JOIN e a ON a.dst = d.id JOIN e b ON b.dst = a.src), far AS (SELECT id, count(*) AS n FROM p WHERE n <> id GROUP BY id), c AS (SELECT src AS id, count(DISTINCT dst) AS n FROM decl WHERE rel_type = 'enables' GROUP BY src),
+      g AS (SELECT coalesce(far.n, 0) * 2 + coalesce(c.n, 0) AS v FROM d LEFT JOIN far ON d.id = far.id LEFT JOIN c ON d.id = c.id) SELECT count(*) AS n_decisions, max(v)::BIGINT AS max_gravity, round(avg(v), 6) AS mean_gravity FROM g""",
+    "record_boundaries": f"""WITH {_RECORDS}, en AS (SELECT src AS id FROM decl UNION SELECT dst FROM decl) SELECT id AS adr_id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM decl WHERE rel_type = 'declares' AND src = id), '') AS declared FROM en WHERE NOT starts_with(id, 'DEC-') AND NOT starts_with(id, 'CAP-')""",
+    "record_chains": f"""WITH {_RECORDS} SELECT DISTINCT src AS decision_id, rel_type AS relationship, dst AS target, CASE WHEN starts_with(dst, 'DEC-') THEN 'decision' WHEN starts_with(dst, 'CAP-') THEN 'capability' ELSE 'adr' END AS target_type FROM decl WHERE rel_type = 'enables' AND starts_with(src, 'DEC-')""",
+    "identity_findings": f"""WITH m AS (SELECT (max(seq_no) + min(seq_no)) / 2 AS mid FROM slice_metadata), r AS (SELECT seq_no, {nid('f')} AS path, {nid('slice_id')} AS id, extractor_version AS x FROM (SELECT *, unnest(source_files) AS f FROM slice_metadata) WHERE f IS NOT NULL AND slice_id IS NOT NULL),
+      o AS (SELECT path, max({{'id': id, 'x': coalesce(x, '')}}) AS v FROM r, m WHERE seq_no <= mid GROUP BY path), n AS (SELECT path, max({{'id': id, 'x': coalesce(x, '')}}) AS v FROM r, m WHERE seq_no > mid GROUP BY path)
+      SELECT CASE WHEN o.v.x IS NOT DISTINCT FROM n.v.x THEN 'ERROR' ELSE 'INFO' END AS severity, path, o.v.id AS old_id, n.v.id AS new_id FROM o JOIN n USING (path) WHERE o.v.id <> n.v.id""",
+    "source_excerpts": f"""WITH l AS (SELECT DISTINCT entity_uri AS key, concat_ws('|', repo, {nid('file_path')}) AS path, greatest(coalesce(line_start, 1), 1) AS a, line_end AS z FROM source_locators WHERE entity_uri IS NOT NULL AND repo IS NOT NULL),
+      f AS (SELECT concat_ws('|', repo, {nid('file_path')}) AS path, string_split(replace(arg_max(body, (scanned_at, body)), chr(13), ''), chr(10)) AS b FROM source_files WHERE body IS NOT NULL AND repo IS NOT NULL GROUP BY 1),
+      x AS (SELECT key, l.path, a, least(coalesce(z, len(b)), len(b)) AS z, b FROM l JOIN f ON l.path = f.path)
+      SELECT key, path, array_to_string(list_transform(range(a, a + greatest(least(z - a + 1, 50), 0)), lambda i: CASE WHEN i <= len(b) THEN lpad(i::VARCHAR, 4, ' ') || ' | ' || b[i] END), chr(10)) AS source, z - a + 1 > 50 AS truncated FROM x""",
     "show_node": f"""WITH {_SN}, {_SF}, top AS ({_search([q.TERM], 1)}) SELECT 0 AS ord, key, 0 AS depth FROM top
       UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY dst))::INTEGER AS ord, dst AS key, 1 AS depth FROM sf JOIN top ON sf.src = top.key WHERE dst <> src ORDER BY dst LIMIT 20)""",
     "implementation_context": f"WITH RECURSIVE {_SN}, {_SF}, {_ball('sf', _EVERY, 1)} SELECT seed, node, depth, domain, type, path FROM ball JOIN sn ON node = key",

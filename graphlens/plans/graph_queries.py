@@ -543,6 +543,37 @@ def style_classes(s, d):
     return documents.document_facts(_files(s, d), "css").filter("kind = 'css_class'").select("file_id", "name").distinct()
 
 
+def decision_gravity(s, d):
+    e, declared = _records(s, d)
+    return architecture.decision_gravity(e, declared)
+
+
+def gravity_summary(s, d):
+    return architecture.gravity_summary(decision_gravity(s, d))
+
+
+def record_boundaries(s, d):
+    return architecture.boundaries(*_records(s, d)).select("adr_id", F.array_join("declared", ",").alias("declared"))
+
+
+def record_chains(s, d):
+    return architecture.chains(*_records(s, d))
+
+
+def identity_findings(s, d):
+    """Between the first half of the extraction log and the second one."""
+    rows = table(s, d, "slice_metadata").select("seq_no", F.explode("source_files").alias("f"), norm_id("slice_id").alias("id"), F.col("extractor_version").alias("extractor")).select("seq_no", norm_id("f").alias("path"), "id", "extractor")
+    mid = table(s, d, "slice_metadata").agg((F.max("seq_no") + F.min("seq_no")) / 2).first()[0] or 0.0
+    return delta.identity_findings(rows.filter(F.col("seq_no") <= mid), rows.filter(F.col("seq_no") > mid))
+
+
+def source_excerpts(s, d):
+    """The lines of each located entity in the newest scan of its file."""
+    l = table(s, d, "source_locators").select(F.col("entity_uri").alias("key"), F.concat_ws("|", "repo", norm_id("file_path")).alias("path"), F.col("line_start").alias("first"), F.col("line_end").alias("last")).filter("key is not null and repo is not null").distinct()
+    newest = _files(s, d).filter("body is not null and repo is not null").groupBy(F.concat_ws("|", "repo", norm_id("file_path")).alias("path")).agg(F.max(F.struct("scanned_at", "body")).alias("v")).select("path", "v.body")
+    return render.excerpts(l, newest)
+
+
 def _documents(reader: str):
     return lambda s, d: documents.document_facts(_files(s, d), reader)
 
@@ -550,7 +581,7 @@ def _documents(reader: str):
 QUERIES = {
     f.__name__: f
     for f in (
-        change_advice, project_structure, style_classes,
+        decision_gravity, gravity_summary, record_boundaries, record_chains, identity_findings, source_excerpts, change_advice, project_structure, style_classes,
         all_facts, slice_elements, module_rows, class_modules, function_modules, template_edges, strongest_edges,
         show_node, implementation_context, related_implementations, overview, overview_repos, key_components, stack_kind, diagnostics, scope_files, scope_freshness, affected_keys, entity_locators, node_matrix, repo_depth_advice,
         node_names, token_estimates, extractor_gaps,
