@@ -53,7 +53,7 @@ def admitted(nodes: DataFrame, edges: DataFrame, level: int) -> DataFrame:
 
 def capability(endpoint: Column) -> Column:
     """Capability of an endpoint by its id ``Endpoint:repo:method:path-segments``: the first segment, or the one after ``api``."""
-    path = F.filter(F.split(F.array_join(F.slice(F.split(endpoint, ":"), 4, 100), ":"), "-"), lambda x: x != "")
+    path = F.filter(F.split(F.array_join(F.slice(F.split(endpoint, ":"), F.lit(4), F.greatest(F.size(F.split(endpoint, ":")) - 3, F.lit(0))), ":"), "-"), lambda x: x != "")
     first = F.lower(F.try_element_at(path, F.lit(1)))
     name = F.when(F.size(path) >= 2, F.when(first == "api", F.try_element_at(path, F.lit(2))).otherwise(first))
     return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1000)))

@@ -171,6 +171,11 @@ ORACLE = {
       f AS (SELECT concat_ws('|', repo, {nid('file_path')}) AS path, string_split(replace(arg_max(body, (scanned_at, body)), chr(13), ''), chr(10)) AS b FROM source_files WHERE body IS NOT NULL AND repo IS NOT NULL GROUP BY 1),
       x AS (SELECT key, l.path, a, least(coalesce(z, len(b)), len(b)) AS z, b FROM l JOIN f ON l.path = f.path)
       SELECT key, path, array_to_string(list_transform(range(a, a + greatest(least(z - a + 1, 50), 0)), lambda i: CASE WHEN i <= len(b) THEN lpad(i::VARCHAR, 4, ' ') || ' | ' || b[i] END), chr(10)) AS source, z - a + 1 > 50 AS truncated FROM x""",
+    "adaptive_debounced": """WITH e AS (SELECT *, epoch_us(ts) AS u FROM events), b AS (SELECT *, (count(*) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW)) >= 3
+        OR len(list_distinct(list(user_id) OVER (ORDER BY u RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW))) >= 40 AS busy FROM e),
+      g AS (SELECT *, max(u + CASE WHEN busy THEN 7200000000 ELSE 1800000000 END) OVER (PARTITION BY user_id ORDER BY u, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM b),
+      r AS (SELECT *, sum(CASE WHEN until IS NULL OR u > until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY u, event_id) AS run FROM g)
+      SELECT user_id, min(ts) AS begins, max(ts) AS ends, count(*) AS n_events, arg_max(event_type, (ts, event_type)) AS last_event FROM r GROUP BY user_id, run""",
     "show_node": f"""WITH {_SN}, {_SF}, top AS ({_search([q.TERM], 1)}) SELECT 0 AS ord, key, 0 AS depth FROM top
       UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY dst))::INTEGER AS ord, dst AS key, 1 AS depth FROM sf JOIN top ON sf.src = top.key WHERE dst <> src ORDER BY dst LIMIT 20)""",
     "implementation_context": f"WITH RECURSIVE {_SN}, {_SF}, {_ball('sf', _EVERY, 1)} SELECT seed, node, depth, domain, type, path FROM ball JOIN sn ON node = key",
@@ -337,5 +342,5 @@ ORACLE = {
     "headings": r"""SELECT DISTINCT doc_id, length(regexp_extract(line, '^(#+)', 1))::INTEGER AS level, regexp_extract(line, '^#+ +(.*?) *$', 1) AS title
       FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(replace(text, chr(13), ''), '(?ms)^[ \t]*```.*?(^[ \t]*```[^\n]*$|\z)', '', 'g'), '(?ms)^[ \t]*~~~.*?(^[ \t]*~~~[^\n]*$|\z)', '', 'g'), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^#{1,6} +[^ ]')""",
     "links": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(https?://[A-Za-z0-9_./#?=&%-]+)', 1)) AS url FROM documents",
-    **{f"compress_l{k}": _compress(k) for k in range(4)},
+    **{f"compress_l{k}": _compress(k) for k in range(5)},
 }

@@ -329,6 +329,12 @@ def debounced(s, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begins", "ends")})
 
 
+def adaptive_debounced(s, d):
+    """Minutes stand for the milliseconds of a watch: half an hour of rest, two hours in a busy time."""
+    out = changes.adaptive_debounced(_events(s, d), "user_id", "event_type", "ts", 1800, 7200, 7200, 40, 3)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begins", "ends")})
+
+
 def transactions(s, d):
     out = changes.transactions_of_table(_events(s, d), "event_type", "ts", 180)
     return out.select(F.col("begins").cast("timestamp_ntz").alias("begins"), F.col("ends").cast("timestamp_ntz").alias("ends"), "n_events", F.array_join("keys", ",").alias("keys"))
@@ -588,14 +594,14 @@ QUERIES = {
         graph_stats, tag_counts, by_tag, lookup_ids, broken_edges, one_sided, isolated, health, search_exact, search_question, search_fuzzy, entry_points, task_candidates, similar, find, usages,
         dependencies_d2, dependents_d2, blast_d2, blast_tiers, blast_risk, closure_forward, closure_reverse, walk_exact, relevant_files, shared_context, context_domains, obligations,
         system_dependencies, verb_counts, repo_types, component_integration, what_calls, group_sizes, adjacency, first_wins, identity_collisions, merged_graph, relationship_pivot, gravity, prefix_affinity,
-        embodiment, height, topology, change_counts, locator_freshness, stale_slices, checksum_drift, coverage, schema_findings, duplicate_ids, id_changes, manifest_diff, signature_changes, debounced, transactions, bursts,
+        embodiment, height, topology, change_counts, locator_freshness, stale_slices, checksum_drift, coverage, schema_findings, duplicate_ids, id_changes, manifest_diff, signature_changes, debounced, adaptive_debounced, transactions, bursts,
         record_relationships, record_governance, record_gaps, consequence_surface, dependency_charts, file_tags, context_bundles,
     )
 } | {
     "resolved_calls": _resolved_calls("call", "function"),
     "csharp_facts": _documents("csharp"), "component_facts": _documents("components"), "record_facts": _documents("decision_record"),
     "typescript_facts": lambda s, d: typescript.typescript_facts(_files(s, d)), "template_facts": lambda s, d: templates.template_facts(_files(s, d)),
-    "compress_l0": compress(0), "compress_l1": compress(1), "compress_l2": compress(2), "compress_l3": compress(3),
+    "compress_l0": compress(0), "compress_l1": compress(1), "compress_l2": compress(2), "compress_l3": compress(3), "compress_l4": compress(4),
     "classify_files": lambda s, d: extract.classify(_files(s, d)), "imports": lambda s, d: extract.imports(_files(s, d)), "styles": lambda s, d: extract.styles(_files(s, d)),
     "resources": lambda s, d: extract.resources(_files(s, d)), "decision_records": lambda s, d: extract.decision_records(_files(s, d)), "decision_edges": lambda s, d: extract.decision_edges(_files(s, d)),
     "headings": lambda s, d: extract.headings(table(s, d, "documents")), "links": lambda s, d: extract.links(table(s, d, "documents")), "python_facts": lambda s, d: extract.python_facts(_files(s, d)),

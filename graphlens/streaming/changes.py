@@ -20,6 +20,51 @@ def debounced(events: DataFrame, key: str, kind: str, at: str, gap: str, waterma
     return runs.agg(F.count("*").alias("n_events"), F.max(F.struct(at, kind)).alias("last"), F.min(at).alias("begins")).select(key, "begins", F.col(f"last.{at}").alias("ends"), "n_events", F.col(f"last.{kind}").alias("last_event"))
 
 
+def busy(events: DataFrame, key: str, at: str, seconds: int, keys: int, same: int) -> DataFrame:
+    """Events of a table with ``busy``: whether in the ``seconds`` up to them at least ``keys`` keys changed, or their own at least ``same`` times.
+
+    Own events are counted by key; how many keys change is found in buckets of time, to which the end of the
+    bucket before is added, so no task sees all events.
+    """
+    micros, span = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
+    placed = events.withColumn("_us", micros).withColumn("_bucket", F.floor(micros / (8 * span)))
+    near = F.when(F.col("_us") >= (F.col("_bucket") + 1) * 8 * span - span, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    both = placed.withColumn("_copy", F.explode(near)).withColumn("_bucket", F.col("_bucket") + F.col("_copy"))
+    w = Window.partitionBy("_bucket").orderBy("_us").rangeBetween(-span, 0)
+    seen = both.withColumn("_keys", F.size(F.collect_set(key).over(w))).filter("_copy = 0")
+    own = Window.partitionBy(key).orderBy("_us").rangeBetween(-span, 0)
+    return seen.withColumn("busy", (F.col("_keys") >= keys) | (F.count("*").over(own) >= same)).drop("_us", "_bucket", "_copy", "_keys")
+
+
+def adaptive_debounced(events: DataFrame, key: str, kind: str, at: str, rest: int, longer: int, seconds: int, keys: int, same: int) -> DataFrame:
+    """As ``debounced``, for a table: a run ends after ``rest`` seconds, but ``longer`` after an event of a busy time (see ``busy``)."""
+    gap = F.when(F.col("busy"), F.lit(f"{longer} seconds")).otherwise(F.lit(f"{rest} seconds"))
+    at_once = busy(events, key, at, seconds, keys, same).withColumn("_gap", gap)
+    sessions = at_once.groupBy(key, F.session_window(at, F.col("_gap")).alias("w"))
+    return sessions.agg(F.count("*").alias("n_events"), F.max(F.struct(at, kind)).alias("last"), F.min(at).alias("begins")).select(key, "begins", F.col(f"last.{at}").alias("ends"), "n_events", F.col(f"last.{kind}").alias("last_event"))
+
+
+def batch_shapes(batches: DataFrame, batch: str, path: str) -> DataFrame:
+    """What holds the paths of each batch together: one folder, one base name (but for endings and test marks), or nothing: batch, n_paths, shape."""
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    base = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"((\.|_)(test|spec))?(\.[A-Za-z]+)+$|^test_", "")
+    base = F.regexp_replace(base, r"^test_", "")
+    counts = batches.groupBy(batch).agg(F.countDistinct(path).alias("n_paths"), F.countDistinct(folder).alias("_folders"), F.countDistinct(base).alias("_bases"))
+    return counts.select(batch, "n_paths", F.when(F.col("_folders") == 1, "folder").when(F.col("_bases") == 1, "base_name").otherwise("none").alias("shape"))
+
+
+def in_update(changes: DataFrame, updates: DataFrame, grace: str = "2 seconds") -> DataFrame:
+    """Changes with ``in_update``: whether they fall into an update of their path's root, or within ``grace`` after its end.
+
+    updates: root, started_at, finished_at (null while it runs). changes: path, root, changed_at. An equi-join by root.
+    """
+    u = updates.select("root", "started_at", (F.col("finished_at") + F.expr(f"interval {grace}")).alias("until")).distinct()
+    c = changes.withColumn("_n", F.monotonically_increasing_id())
+    hit = (F.col("changed_at") >= F.col("started_at")) & (F.col("until").isNull() | (F.col("changed_at") < F.col("until")))
+    marked = c.join(u, "root", "left").groupBy(*changes.columns, "_n").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("in_update"))
+    return marked.drop("_n")
+
+
 def transactions(events: DataFrame, key: str, at: str, gap: str, least: int = 2, watermark: str | None = None) -> DataFrame:
     """Runs of events over all keys in which at least ``least`` keys change."""
     if watermark:

@@ -86,3 +86,24 @@ def test_extraction(files, rows):
 def test_python_facts(files):
     got = {(r.kind, r.name, r.line, r.detail) for r in extract.python_facts(files).collect()}
     assert {("import", "os", 1, None), ("import", ".x", 2, "y"), ("endpoint", "/p", 5, "GET"), ("function", "f", 5, "a"), ("env", "KEY", 6, None), ("env", "K2", 6, None), ("class", "M", 8, "Base"), ("model", "M", 8, "v")} <= got
+
+
+def test_batch_shapes_and_updates(spark, rows):
+    b = spark.createDataFrame([(1, "a/x.py"), (1, "a/y.py"), (2, "a/x.py"), (2, "tests/test_x.py"), (2, "b/x.test.ts"), (3, "a/x.py"), (3, "b/z.py")], "batch int, path string")
+    assert rows(changes.batch_shapes(b, "batch", "path").select("batch", "shape")) == [(1, "folder"), (2, "base_name"), (3, "none")]
+    t = lambda s: datetime(2026, 1, 1, 0, 0, s)
+    u = spark.createDataFrame([("r", t(10), t(20)), ("s", t(10), None)], "root string, started_at timestamp, finished_at timestamp")
+    c = spark.createDataFrame([("p", "r", t(9)), ("p", "r", t(21)), ("p", "r", t(22)), ("p", "s", t(50)), ("p", "q", t(50))], "path string, root string, changed_at timestamp")
+    assert [r.in_update for r in changes.in_update(c, u).orderBy("root", "changed_at").collect()] == [False, False, True, False, True]
+
+
+def test_busy_times_across_buckets(spark):
+    import random
+
+    rng = random.Random(4)
+    base = datetime(2026, 1, 1)
+    data = [(k, rng.choice("abcde"), base + timedelta(seconds=rng.randrange(300))) for k in range(200)]
+    df = spark.createDataFrame(data, "n int, key string, at timestamp")
+    want = {n for n, key, at in data if len({k for _, k, x in data if 0 <= (at - x).total_seconds() <= 3}) >= 3 or sum(k == key and 0 <= (at - x).total_seconds() <= 3 for _, k, x in data) >= 2}
+    got = changes.busy(df, "key", "at", 3, 3, 2).collect()
+    assert {r.n for r in got if r.busy} == want and len(got) == 200
