@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.llm.grammars import grammar
 from graphlens.llm.islands import ISLANDS, is_trivial
 from graphlens.llm.syntax import is_valid, language_of
 from graphlens.session import ship, spread
@@ -18,8 +19,10 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, language, body in zip(pdf["file_id"], pdf["language"], pdf["body"]):
             # The cheap pass first: only files with something to give are checked for validity.
-            found = [x for x in ISLANDS[language](body) if not is_trivial(x.doc, x.name)]
-            if found and is_valid(language, body):
+            names: list[str] = []
+            islands = ISLANDS[language](body, names) if language == "python" else ISLANDS[language](body)
+            found = [x for x in islands if not is_trivial(x.doc, x.name)]
+            if found and (bool(grammar(language).accepted(names)) if names else is_valid(language, body)):
                 rows += [(key, x.qualname, x.line, language, x.doc) for x in found]
         yield pd.DataFrame(rows, columns=["file_id", "qualname", "def_line", "language", "documentation"])
 
