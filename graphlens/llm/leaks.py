@@ -17,8 +17,8 @@ from graphlens.session import Scratch, spread
 
 #: Words of a shared run, and of a fingerprinted gram. The window of winnowing follows from both.
 RUN, GRAM = 12, 8
-#: Most fingerprints of items that are broadcast, about 40 bytes each, and most bytes of item texts.
-BROADCAST_PRINTS, BROADCAST_TEXT = 500_000, 32 << 20
+#: Most fingerprints of items that are broadcast, about 40 bytes each, most bytes of item texts, and most ids of documents, about 30 bytes each.
+BROADCAST_PRINTS, BROADCAST_TEXT, BROADCAST_IDS = 500_000, 32 << 20, 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -130,8 +130,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM) -
     items' prints are written and counted first: up to ``BROADCAST_PRINTS`` are broadcast. Beyond that the corpus's
     prints are written too, and a print of very many documents is split by document. Hits shrink to the first
     and the last on each diagonal before they are gathered, so a pair gathers at most two for each word of both
-    texts, however often these repeat. Texts are fetched only for pairs that hit, an item of very many documents
-    or a document of very many items in shares.
+    texts, however often these repeat. Texts are fetched only for pairs that hit: up to ``BROADCAST_IDS`` ids of documents
+    go to where the texts are, so that only these are shuffled. An item of very many documents or a document of very many items is split.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     docs = docs.select("doc_id", "text")
@@ -149,5 +149,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM) -
         full = pairs.join(F.broadcast(items), "item_id")
     else:
         full = salted_join(pairs, items, "item_id", "inner", "doc_id")
-    full = salted_join(full, docs.filter("text is not null"), "doc_id", "inner", "item_id").sortWithinPartitions("doc_id")
+    hit = pairs.select("doc_id").distinct()
+    wanted = docs.filter("text is not null").join(F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit, "doc_id", "left_semi")
+    full = salted_join(full, wanted, "doc_id", "inner", "item_id").sortWithinPartitions("doc_id")
     return full.select("doc_id", "item_id", "text", "item_text", "spans").mapInPandas(_extended(run), "doc_id long, item_id long").distinct()

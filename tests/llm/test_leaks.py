@@ -65,6 +65,7 @@ def test_shuffled_plan_gives_the_same(spark, monkeypatch):
     one = found(spark, docs, items)
     monkeypatch.setattr(leaks, "BROADCAST_PRINTS", 0)
     monkeypatch.setattr(leaks, "BROADCAST_TEXT", 0)
+    monkeypatch.setattr(leaks, "BROADCAST_IDS", 0)
     monkeypatch.setattr("graphlens.operators.skew.HOT_FLOOR", 5)
     assert one == found(spark, docs, items) == brute(docs, items, 12)
 
