@@ -153,3 +153,37 @@ def both_sides(edges: DataFrame) -> DataFrame:
     """Every reference on both of its ends: key, direction, other."""
     ahead = edges.select(F.col("src").alias("key"), F.lit("forward").alias("direction"), F.col("dst").alias("other"))
     return ahead.unionByName(edges.select(F.col("dst").alias("key"), F.lit("backward").alias("direction"), F.col("src").alias("other"))).distinct()
+
+
+def by_equal_name(left: DataFrame, right: DataFrame, verb: str) -> DataFrame:
+    """src, dst, verb of rows (key, name) with the same name: schemas and tables, templates and the components of their tags, routes and components or guards."""
+    both = salted_join(left.select(F.col("key").alias("src"), "name").dropna().distinct(), right.select(F.col("key").alias("dst"), "name").dropna().distinct(), "name", "inner", "src")
+    return both.filter("src <> dst").select("src", "dst", F.lit(verb).alias("verb")).distinct()
+
+
+def controls(tagged: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Control → resource of the service that it is for: src, dst. tagged: key, tags; wanted: key, service."""
+    at = tagged.select(F.col("key").alias("dst"), F.explode("tags").alias("tag")).distinct()
+    return wanted.select(F.col("key").alias("src"), F.concat(F.lit("aws:"), F.lower("service")).alias("tag")).distinct().join(at, "tag").select("src", "dst").distinct()
+
+
+def configured(configs: DataFrame, templates: DataFrame) -> DataFrame:
+    """Configuration → template below its folder: src, dst. Both: key, path; the part ``parameters`` of a folder stands for none. Joined by each folder of a template."""
+    folder = lambda c: F.regexp_replace(F.regexp_extract(c, "^(.*)/[^/]*$", 1), "(^|/)parameters(/|$)", "$1")
+    parts = F.split("path", "/")
+    above = templates.select(F.col("key").alias("dst"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n - 1), "/"))).alias("folder")).distinct()
+    own = configs.select(F.col("key").alias("src"), F.regexp_replace(folder(F.col("path")), "/+$", "").alias("folder")).distinct()
+    return own.join(above, "folder").select("src", "dst").distinct()
+
+
+def named_files(uses: DataFrame, files: DataFrame) -> DataFrame:
+    """Component → template or style sheet of a URL: src, file_id. uses: key, url; files: file_id, path. The file has the URL's last part as its name."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    return uses.select(F.col("key").alias("src"), last(F.col("url")).alias("name")).dropna().distinct().join(files.select("file_id", last(F.col("path")).alias("name")), "name").select("src", "file_id").distinct()
+
+
+def behaviors(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """Environment and SDK use → module of its file, with the tag that it gives: file_id, module_id, tag."""
+    tag = F.when(F.col("kind") == "env", F.concat(F.lit("env:"), F.col("name"))).otherwise(F.concat(F.lit("aws:"), F.lower("name")))
+    used = facts.filter(F.col("kind").isin("env", "sdk")).select("file_id", tag.alias("tag")).distinct()
+    return used.join(files.select("file_id", infer.module_id(F.col("path")).alias("module_id")).distinct(), "file_id").select("file_id", "module_id", "tag")

@@ -176,6 +176,7 @@ ORACLE = {
       g AS (SELECT *, max(u + CASE WHEN busy THEN 7200000000 ELSE 1800000000 END) OVER (PARTITION BY user_id ORDER BY u, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM b),
       r AS (SELECT *, sum(CASE WHEN until IS NULL OR u > until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY u, event_id) AS run FROM g)
       SELECT user_id, min(ts) AS begins, max(ts) AS ends, count(*) AS n_events, arg_max(event_type, (ts, event_type)) AS last_event FROM r GROUP BY user_id, run""",
+    "domain_index": f"WITH {_SN} SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY key) AS position, key FROM sn",
     "show_node": f"""WITH {_SN}, {_SF}, top AS ({_search([q.TERM], 1)}) SELECT 0 AS ord, key, 0 AS depth FROM top
       UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY dst))::INTEGER AS ord, dst AS key, 1 AS depth FROM sf JOIN top ON sf.src = top.key WHERE dst <> src ORDER BY dst LIMIT 20)""",
     "implementation_context": f"WITH RECURSIVE {_SN}, {_SF}, {_ball('sf', _EVERY, 1)} SELECT seed, node, depth, domain, type, path FROM ball JOIN sn ON node = key",

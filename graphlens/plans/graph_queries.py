@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text
 from graphlens.functions.ids import norm_id, slice_key
-from graphlens.operators import architecture, bundles, context, delta, emit, explore, infer, relations, render, search, structure, traverse, workspace
+from graphlens.operators import architecture, bundles, context, delta, emit, explore, infer, pipeline, relations, render, search, structure, traverse, workspace
 from graphlens.plans.data_queries import p1_found
 from graphlens.session import table
 from graphlens.sources import documents, extract, templates, typescript
@@ -549,6 +549,32 @@ def style_classes(s, d):
     return documents.document_facts(_files(s, d), "css").filter("kind = 'css_class'").select("file_id", "name").distinct()
 
 
+def _bundle(s, d):
+    """Of all records; ids that several of them declare are taken for mentions of one entity."""
+    return pipeline.build(documents.document_facts(_files(s, d), "decision_record"), may_repeat=pipeline.ENTITY_KINDS)
+
+
+def architecture_entities(s, d):
+    return _bundle(s, d)["entities"].select("id", "entity_type", "record_id")
+
+
+def architecture_relationships(s, d):
+    return _bundle(s, d)["relationships"]
+
+
+def evidence_subjects(s, d):
+    return pipeline.subjects(_bundle(s, d)["entities"].filter("entity_type = 'adr'").select("id"), "valid")
+
+
+def record_view(s, d):
+    b = _bundle(s, d)
+    return pipeline.record_view(b["entities"], b["relationships"]).select("adr_id", F.array_join("introduced", ",").alias("introduced"), F.array_join("related", ",").alias("related"))
+
+
+def domain_index(s, d):
+    return pipeline.indexes(g.slice_nodes(s, d))
+
+
 def decision_gravity(s, d):
     e, declared = _records(s, d)
     return architecture.decision_gravity(e, declared)
@@ -587,7 +613,7 @@ def _documents(reader: str):
 QUERIES = {
     f.__name__: f
     for f in (
-        decision_gravity, gravity_summary, record_boundaries, record_chains, identity_findings, source_excerpts, change_advice, project_structure, style_classes,
+        architecture_entities, architecture_relationships, evidence_subjects, record_view, domain_index, decision_gravity, gravity_summary, record_boundaries, record_chains, identity_findings, source_excerpts, change_advice, project_structure, style_classes,
         all_facts, slice_elements, module_rows, class_modules, function_modules, template_edges, strongest_edges,
         show_node, implementation_context, related_implementations, overview, overview_repos, key_components, stack_kind, diagnostics, scope_files, scope_freshness, affected_keys, entity_locators, node_matrix, repo_depth_advice,
         node_names, token_estimates, extractor_gaps,
