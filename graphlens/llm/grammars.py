@@ -72,11 +72,8 @@ star_item: '*' bits | test ;
 star_named: '*' bits | named ;
 named: test | id ':=' test ;
 test: bin ('if' bin 'else' test)? | 'lambda' lambda_params? ','? ':' test ;
-bin: 'not'* comparison (('or' | 'and') 'not'* comparison)* ;
-comparison: bits (('not' 'in' | 'in' | 'is' 'not'? | CMP) bits)* ;
-bits: unary (('*' | '**' | '@' | '/' | '-' | '+' | '|' | OP) unary)* ;
-unary: ('-' | '+' | '~')* 'await'? primary ;
-primary: atom trailer* ;
+bin: 'not'* bits (('not' 'in' | 'in' | 'is' 'not'? | CMP) bits)* (('or' | 'and') 'not'* bits (('not' 'in' | 'in' | 'is' 'not'? | CMP) bits)*)* ;
+bits: ('-' | '+' | '~')* 'await'? atom trailer* (('*' | '**' | '@' | '/' | '-' | '+' | '|' | OP) ('-' | '+' | '~')* 'await'? atom trailer*)* ;
 trailer: '.' id | '(' (args | named comp+)? ')' | '[' subscripts ']' ;
 subscripts: subscript (',' subscript)* ','? ;
 subscript: named | '*' bits | test? ':' test? (':' test?)? ;
