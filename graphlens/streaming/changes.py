@@ -23,17 +23,27 @@ def debounced(events: DataFrame, key: str, kind: str, at: str, gap: str, waterma
 def busy(events: DataFrame, key: str, at: str, seconds: int, keys: int, same: int) -> DataFrame:
     """Events of a table with ``busy``: whether in the ``seconds`` up to them at least ``keys`` keys changed, or their own at least ``same`` times.
 
-    Own events are counted by key; how many keys change is found in buckets of time, to which the end of the
-    bucket before is added, so no task sees all events.
+    Each key counts as changing from its first event until ``seconds`` after the last one of a run without a longer pause.
+    So how many keys change at a time is a running sum of begins and ends; it is taken in buckets of time, to which
+    the sum of the buckets before is added, so no task sees all events and no row looks back over a frame.
     """
-    micros, span = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
-    placed = events.withColumn("_us", micros).withColumn("_bucket", F.floor(micros / (8 * span)))
-    near = F.when(F.col("_us") >= (F.col("_bucket") + 1) * 8 * span - span, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    both = placed.withColumn("_copy", F.explode(near)).withColumn("_bucket", F.col("_bucket") + F.col("_copy"))
-    w = Window.partitionBy("_bucket").orderBy("_us").rangeBetween(-span, 0)
-    seen = both.withColumn("_keys", F.size(F.collect_set(key).over(w))).filter("_copy = 0")
-    own = Window.partitionBy(key).orderBy("_us").rangeBetween(-span, 0)
-    return seen.withColumn("busy", (F.col("_keys") >= keys) | (F.count("*").over(own) >= same)).drop("_us", "_bucket", "_copy", "_keys")
+    span = seconds * 1_000_000
+    of_key, over = Window.partitionBy(key).orderBy("_us"), Window.orderBy("_bucket")
+    before, after = F.lag("_us").over(of_key), F.lead("_us").over(of_key)
+    known = F.col(key).isNotNull() & F.col("_us").isNotNull()
+    placed = events.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withColumns({
+        "_begins": known & (before.isNull() | (F.col("_us") - before > span)), "_ends": known & (after.isNull() | (after - F.col("_us") > span)),
+        "_enough": F.lag("_us", max(same - 1, 0)).over(of_key) >= F.col("_us") - span,
+    })
+    own = F.coalesce(F.max("_enough").over(Window.partitionBy(key, "_us")), F.lit(False)) | F.lit(same <= 0)  # of events at one time only the last sees all of them
+    step = lambda us, change, event: F.struct(us.alias("us"), change.cast("int").alias("change"), F.lit(event).alias("event"))
+    steps = F.array_compact(F.array(step(F.col("_us"), F.col("_begins"), True), F.when(F.col("_ends"), step(F.col("_us") + span + 1, F.lit(-1), False))))
+    line = placed.withColumn("_own", own).withColumn("_step", F.explode(steps)).withColumn("_bucket", F.floor(F.col("_step.us") / (8 * span)))
+    sums = line.groupBy("_bucket").agg(F.sum("_step.change").alias("_sum"))
+    carried = sums.select(F.col("_bucket").alias("_at"), F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carried"))
+    inside = F.sum("_step.change").over(Window.partitionBy("_bucket").orderBy("_step.us").rangeBetween(Window.unboundedPreceding, 0))
+    seen = line.withColumn("_inside", inside).filter("_step.event").join(carried, F.col("_bucket") == F.col("_at"), "left")
+    return seen.withColumn("busy", (F.col("_inside") + F.coalesce("_carried", F.lit(0)) >= keys) | F.col("_own")).select(*events.columns, "busy")
 
 
 def adaptive_debounced(events: DataFrame, key: str, kind: str, at: str, rest: int, longer: int, seconds: int, keys: int, same: int) -> DataFrame:

@@ -107,3 +107,23 @@ def test_busy_times_across_buckets(spark):
     want = {n for n, key, at in data if len({k for _, k, x in data if 0 <= (at - x).total_seconds() <= 3}) >= 3 or sum(k == key and 0 <= (at - x).total_seconds() <= 3 for _, k, x in data) >= 2}
     got = changes.busy(df, "key", "at", 3, 3, 2).collect()
     assert {r.n for r in got if r.busy} == want and len(got) == 200
+
+
+def test_busy_times_take_no_look_back_for_each_event(spark):
+    import random
+
+    rng = random.Random(9)
+    base = datetime(2026, 1, 1)
+    data = [(k, rng.choice([*"abcdefgh", None]), base + timedelta(seconds=rng.randrange(400)) + timedelta(days=rng.choice((0, 0, 3)))) for k in range(260)]
+    df = spark.createDataFrame(data, "n int, key string, at timestamp")
+
+    def want(keys, same):
+        near = {n: [k for _, k, x in data if 0 <= (at - x).total_seconds() <= 4] for n, _, at in data}
+        return {n for n, key, _ in data if len({*near[n]} - {None}) >= keys or near[n].count(key) >= same}
+
+    for keys, same in ((3, 9), (4, 3), (9, 2), (2, 1), (99, 99)):
+        out = changes.busy(df, "key", "at", 4, keys, same)
+        got = out.collect()
+        assert len(got) == 260 and {r.n for r in got if r.busy} == want(keys, same)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "RangeFrame, -" not in plan
