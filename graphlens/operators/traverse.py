@@ -58,10 +58,26 @@ def risk(ball: DataFrame, nodes: DataFrame) -> DataFrame:
     """Risk of changing each seed, by repositories affected and nodes two or more steps away."""
     known = ball.join(nodes.select(F.col("id").alias("node"), "repo"), "node")
     m = known.groupBy("seed").agg(F.countDistinct("repo").alias("n_repos"), F.count_if(F.col("depth") >= 2).alias("n_far"), F.max("depth").alias("max_tier"))
+    return _rated(m)
+
+
+def _rated(m: DataFrame) -> DataFrame:
     level = F.when((F.col("n_repos") >= 4) | (F.col("n_far") >= 10), "critical").when((F.col("n_repos") >= 3) | (F.col("n_far") >= 5), "high")
     return m.withColumn("risk", level.when((F.col("n_repos") >= 2) | (F.col("n_far") >= 2), "medium").otherwise("low"))
 
 
+def counted_tiers(counts: DataFrame) -> DataFrame:
+    """As ``tiers``, from the counts of ``compact.blast``."""
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("tier"), F.col(f"rows{k}").alias("n"), F.col(f"placed{k}").alias("n_nodes"), F.col(f"repos{k}").alias("n_repos")) for k in (1, 2)]))
+    return counts.select("seed", rows.alias("t")).filter("t.n > 0").select("seed", "t.tier", "t.n_nodes", "t.n_repos", (F.col("t.n") - F.col("t.n_nodes")).alias("n_dangling"))
+
+
+def counted_risk(counts: DataFrame) -> DataFrame:
+    """As ``risk``, from the counts of ``compact.blast``."""
+    some = counts.filter("known1 + known2 > 0")
+    return _rated(some.select("seed", F.col("repos").alias("n_repos"), F.col("known2").alias("n_far"), F.when(F.col("known2") > 0, 2).otherwise(1).alias("max_tier")))
+
+
 def _walker(depth: int, limit: int):
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions import text
 from graphlens.functions.ids import norm_id, slice_key
-from graphlens.operators import architecture, bundles, context, delta, emit, explore, infer, pipeline, relations, render, search, structure, traverse, workspace
+from graphlens.operators import architecture, bundles, compact, context, delta, emit, explore, infer, pipeline, relations, render, search, structure, traverse, workspace
 from graphlens.plans.data_queries import p1_found
 from graphlens.session import table
 from graphlens.sources import documents, extract, templates, typescript
@@ -129,19 +129,20 @@ def blast_d2(s, d):
     return traverse.reached(traverse.both_ways(f), ends(f), 2)
 
 
-def _ws_blast(s, d):
+def _ws_blast(s, d, counted, listed):
+    """Of each blast what ``counted`` makes of its counts; for graphs too large for that, ``listed`` of its rows."""
     n, e = _ws(s, d)
-    return n, traverse.reached(traverse.both_ways(e), ends(e), 2)
+    counts = compact.blast(e, n)
+    return listed(traverse.reached(traverse.both_ways(e), ends(e), 2), n) if counts is None else counted(counts)
 
 
 def blast_tiers(s, d):
-    n, ball = _ws_blast(s, d)
-    return traverse.tiers(ball, n)
+    return _ws_blast(s, d, traverse.counted_tiers, traverse.tiers)
 
 
 def blast_risk(s, d):
-    n, ball = _ws_blast(s, d)
-    return traverse.risk(ball, n)
+    n, e = _ws(s, d)
+    return traverse.risk(traverse.reached(traverse.both_ways(e), ends(e), 2), n)
 
 
 def closure_forward(s, d):
