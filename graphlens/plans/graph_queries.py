@@ -141,8 +141,7 @@ def blast_tiers(s, d):
 
 
 def blast_risk(s, d):
-    n, e = _ws(s, d)
-    return traverse.risk(traverse.reached(traverse.both_ways(e), ends(e), 2), n)
+    return _ws_blast(s, d, traverse.counted_risk, traverse.risk)
 
 
 def closure_forward(s, d):
