@@ -100,12 +100,75 @@ def _tasks(links: DataFrame, handed: object, work, schema: str, weights: np.ndar
     return spark.range(0, tasks, 1, tasks).mapInArrow(share, schema)
 
 
+# --- what two balls share ---
+
+_BALLS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _balls(ptr: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All balls of two steps, from closed neighbourhoods: where each begins, and its nodes, sorted."""
+    n, parts, sizes = len(ptr) - 1, [], []
+    reach = np.concatenate(([0], np.cumsum(np.diff(ptr)[near])))[ptr]
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(reach, reach[at] + STEP, "right")) - 1)
+        first = near[ptr[at] : ptr[to]]
+        where, lens = places(ptr, first)
+        seed = np.repeat(np.repeat(np.arange(to - at), np.diff(ptr[at : to + 1])), lens)
+        pairs = np.unique(seed * n + near[where])
+        parts.append((pairs % n).astype(np.int32))
+        sizes.append(np.bincount(pairs // n, minlength=to - at))
+        at = to
+    return np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(parts)
+
+
+def _shared(handed, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+    ident, names, ptr, near = handed
+    if ident not in _BALLS:
+        _BALLS.clear()
+        _BALLS[ident] = _balls(ptr, near)
+    bounds, ball = _BALLS[ident]
+    parts, held = [], 0
+    for a in range(begin, end):
+        others = ball[places(bounds, ball[bounds[a] : bounds[a + 1]])[0]]
+        others = np.sort(others[others > a])
+        if len(others):
+            first = np.concatenate(([0], np.flatnonzero(others[1:] != others[:-1]) + 1, [len(others)]))
+            parts.append((np.full(len(first) - 1, a, np.int32), others[first[:-1]], np.diff(first)))
+            held += len(first) - 1
+        if parts and (held >= ROWS or a == end - 1):
+            seed, other, shared = (np.concatenate(x) for x in zip(*parts))
+            yield from _batches([names.take(pa.array(seed)), names.take(pa.array(other)), pa.array(shared)], ["seed", "other", "n_shared"])
+            parts, held = [], 0
+    if parts:
+        seed, other, shared = (np.concatenate(x) for x in zip(*parts))
+        yield from _batches([names.take(pa.array(seed)), names.take(pa.array(other)), pa.array(shared)], ["seed", "other", "n_shared"])
+
+
 def _batches(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
     whole = pa.RecordBatch.from_arrays(columns, names)
     for at in range(0, whole.num_rows, ROWS):
         yield whole.slice(at, ROWS)
 
 
+def shared_counts(edges: DataFrame) -> DataFrame | None:
+    """seed, other, n_shared: how many nodes the two-step balls of each two ends share, over edges either way."""
+    scratch = Scratch(edges.sparkSession, "shared")
+    links = scratch.save(edges.select("src", "dst").distinct(), "links")
+    if (g := compact(links)) is None:
+        return None
+    n = len(g.names)
+    ptr, near = both_ways(g)
+    own = np.arange(n, dtype=np.int32)
+    ptr, near = by_source(n, np.concatenate((np.repeat(own, np.diff(ptr)), own)), np.concatenate((near, own)))
+    size = np.diff(ptr)
+    reach = np.add.reduceat(size[near], ptr[:-1]) if n else size
+    if reach.sum() > BALLS:
+        return None
+    weights = np.add.reduceat(reach[near], ptr[:-1]) if n else size
+    return _tasks(links, (scratch.root, g.names, ptr, near), _shared, "seed string, other string, n_shared bigint", weights * 4 + 1000)
+
+
 # --- nodes and repositories of two-step blasts ---
 
 _BLAST = ["seed", *(f"{what}{k}" for k in (1, 2) for what in ("rows", "known", "placed", "repos")), "repos"]

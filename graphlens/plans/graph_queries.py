@@ -168,6 +168,8 @@ def relevant_files(s, d):
 def shared_context(s, d):
     """How many nodes the balls of each two nodes share; pairs that share none have no row."""
     f = g.slice_edges(s, d)
+    if (counts := compact.shared_counts(f)) is not None:
+        return counts
     ball = traverse.bfs(traverse.both_ways(f), ends(f), 2).select("seed", "node").distinct()
     other = ball.select(F.col("seed").alias("other"), "node")
     return ball.join(other, "node").filter("seed < other").groupBy("seed", "other").agg(F.count("*").alias("n_shared"))

@@ -52,3 +52,23 @@ def test_larger_graphs_go_by_joins(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(compact, "LINKS", 100)
     n, e = q._ws(spark, d)
     assert compact.blast(e, n) is None and rows(q.blast_tiers(spark, d)) == want
+
+
+def test_shared_context_shuffles_no_pairs(spark, tmp_path, rows, monkeypatch):
+    from test_whole_jobs import ball as near
+
+    rng = random.Random(6)
+    links = sorted({(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(70)} | {("n59", f"n{k:02d}") for k in range(0, 40, 3)} | {("é", "n01"), ("z", "é"), ("self", "self")})
+    ids, key = sorted({a for a, _ in links}), "graph/function/{}".format
+    ref = "array<struct<slice_domain string, slice_type string, slice_id string>>"
+    slices = [("graph", "function", n, [("graph", "function", b) for a, b in links if a == n]) for n in ids]
+    spark.createDataFrame(slices, f"slice_domain string, slice_type string, slice_id string, forward_refs {ref}").write.parquet(f"{tmp_path}/slices.parquet")
+    both = {s: {s, *near([*links, *(x[::-1] for x in links)], s, 2)} for x in links for s in x}
+    want = sorted(((key(a), key(b), len(both[a] & both[b])) for a in both for b in both if a < b and both[a] & both[b]), key=repr)
+    monkeypatch.setattr(compact, "BALLS", 10)
+    assert rows(q.shared_context(spark, str(tmp_path))) == want
+    monkeypatch.undo()
+    listed(monkeypatch, "bfs")
+    for name, value in (("STEP", 40), ("ROWS", 7), ("STEP", 1 << 22)):
+        monkeypatch.setattr(compact, name, value)
+        assert rows(q.shared_context(spark, str(tmp_path))) == want
