@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.operators import traverse
+from graphlens.operators import compact, traverse
 from graphlens.session import Scratch
 
 #: Each relationship and the one that holds the other way.
@@ -52,7 +52,10 @@ def consequences(relationships: DataFrame, seeds: DataFrame, depth: int = 3) ->
     scratch = Scratch(relationships.sparkSession, "consequences")
     rels = scratch.save(relationships.select("src", "dst", "rel_type").distinct(), "rels")
     later = rels.filter(F.col("rel_type").isin(*HARD, *SOFT))
-    frontier = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("node", F.col("seed"))
+    start = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
+    if (reached := compact.consequences(rels, start, depth, HARD, SOFT)) is not None:
+        return reached
+    frontier = start.withColumn("node", F.col("seed"))
     seen, found = frontier, []
     rank = F.min(F.struct((~F.col("rel_type").isin(*HARD)).alias("soft"), F.col("rel_type").alias("via"))).alias("best")
     for k in range(1, depth + 1):

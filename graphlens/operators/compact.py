@@ -254,3 +254,57 @@ def blast(edges: DataFrame, nodes: DataFrame) -> DataFrame | None:
     weights = (light[ptr[1:]] - light[ptr[:-1]] + size)[order] + 2000
     handed = (g.names, ptr, near, number.astype(np.int32), known, repo, order, max(1, len(coded.dictionary)))
     return _tasks(links, handed, _blast, "seed string, " + ", ".join(f"{c} bigint" for c in _BLAST[1:]), weights)
+
+
+# --- consequences ---
+
+
+def _consequences(handed, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+    names, labels, n_hard, every, later, seeds, depth = handed
+    n, m = len(names), max(1, len(labels))
+    via, tier = pa.array(labels, pa.string()), pa.array(["hard", "soft"])
+    shares = [(at, min(at + 256, end)) for at in range(begin, end, 256)][::-1]
+    while shares:
+        at, to = shares.pop()
+        own = seeds[at:to].astype(np.int64)
+        seen = front = np.arange(to - at) * n + own
+        found = []
+        for k in range(1, depth + 1):
+            ptr, dst, code = every if k == 1 else later
+            lens = ptr[front % n + 1] - ptr[front % n]
+            if lens.sum() > STEP and to - at > 1:
+                found, half = None, (at + to) // 2
+                shares += [(half, to), (at, half)]
+                break
+            where, lens = places(ptr, front % n)
+            best = np.sort((np.repeat(front // n, lens) * n + dst[where]) * m + code[where])
+            key = best // m
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            key, best = key[first], best[first] % m
+            place = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
+            fresh = seen[place] != key
+            front, best = key[fresh], best[fresh]
+            seen = np.sort(np.concatenate((seen, front)))
+            found.append((front, best, np.full(len(front), k, np.int32)))
+        if found:
+            key, best, steps = (np.concatenate(x) for x in zip(*found))
+            for a in range(0, len(key), ROWS):
+                x, b = key[a : a + ROWS], best[a : a + ROWS]
+                columns = [names.take(pa.array(own[x // n])), names.take(pa.array(x % n)), pa.array(steps[a : a + ROWS]), tier.take(pa.array((b >= n_hard).astype(np.int8))), via.take(pa.array(b))]
+                yield pa.RecordBatch.from_arrays(columns, ["seed", "node", "depth", "tier", "via"])
+
+
+def consequences(links: DataFrame, seeds: DataFrame, depth: int, hard: tuple[str, ...], soft: tuple[str, ...]) -> DataFrame | None:
+    """As ``architecture.consequences``, over saved distinct links src, dst, rel_type. seeds: seed, each once."""
+    g = compact(links, "rel_type", seeds.select(F.col("seed").alias("name"), F.lit(True).alias("is_seed")))
+    if g is None:
+        return None
+    n = len(g.names)
+    ranked = sorted(g.labels, key=lambda x: (x not in hard, x.encode()))
+    code = np.array([ranked.index(x) for x in g.labels], np.int32)[g.label] if g.labels else g.label
+    goes_on = np.isin(code, [k for k, x in enumerate(ranked) if x in hard or x in soft])
+    every, later = by_source(n, g.src, g.dst, code), by_source(n, g.src[goes_on], g.dst[goes_on], code[goes_on])
+    at = np.flatnonzero(g.extra["is_seed"].is_valid().to_numpy(zero_copy_only=False)).astype(np.int32)
+    step = np.concatenate(([0], np.cumsum(np.diff(later[0])[every[1]])))
+    weights = (step[every[0][1:]] - step[every[0][:-1]] + np.diff(every[0]))[at] + 50
+    return _tasks(links, (g.names, ranked, sum(x in hard for x in ranked), every, later, at, depth), _consequences, "seed string, node string, depth int, tier string, via string", weights)

@@ -72,3 +72,34 @@ def test_shared_context_shuffles_no_pairs(spark, tmp_path, rows, monkeypatch):
     for name, value in (("STEP", 40), ("ROWS", 7), ("STEP", 1 << 22)):
         monkeypatch.setattr(compact, name, value)
         assert rows(q.shared_context(spark, str(tmp_path))) == want
+
+
+def test_consequences_write_no_steps(spark, tmp_path, rows, monkeypatch):
+    from graphlens.operators import architecture
+    from graphlens.session import Scratch
+
+    rng = random.Random(7)
+    verbs = ["calls", "implements", "reads", "contradicts", "refines", "embodies"]
+    links = sorted({(f"n{rng.randrange(50):02d}", f"n{rng.randrange(50):02d}", rng.choice(verbs)) for _ in range(160)} | {("n00", f"n{k:02d}", v) for k in range(50) for v in ("refines", "implements")})
+    ranked = sorted(verbs, key=lambda v: (v not in architecture.HARD, v))
+    want, nodes = [], sorted({x for a, b, _ in links for x in (a, b)})
+    for s in nodes:
+        seen, front = {s}, {s}
+        for k in (1, 2, 3):
+            best = {}
+            for a, b, v in links:
+                if a in front and b not in seen and (k == 1 or v in (*architecture.HARD, *architecture.SOFT)):
+                    best[b] = min(best.get(b, 9), ranked.index(v))
+            want += [(s, b, k, "hard" if ranked[x] in architecture.HARD else "soft", ranked[x]) for b, x in best.items()]
+            seen, front = seen | best.keys(), {*best}
+    r = spark.createDataFrame(links, "src string, dst string, rel_type string")
+    seeds = spark.createDataFrame([(x,) for x in [*nodes, "elsewhere", "n00"]], "s string")
+    monkeypatch.setattr(compact, "LINKS", 10)
+    assert rows(architecture.consequences(r, seeds, 3)) == sorted(want, key=repr)
+    monkeypatch.undo()
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    for step in (1 << 22, 60):
+        monkeypatch.setattr(compact, "STEP", step)
+        assert rows(architecture.consequences(r, seeds, 3)) == sorted(want, key=repr)
+    assert saved == ["rels", "rels"]
